@@ -1,7 +1,7 @@
 """A convolutional text classifier in numpy.
 
-Words are hashed into two embedding tables whose rows are added; filters of
-several widths slide over the words, the largest response of each filter over
+A word and its prefixes are hashed into two embedding tables whose rows are
+added; filters of several widths slide over the words, the largest response of each filter over
 the whole text is kept, and a logistic layer scores it. Training takes a bounded
 sample of labelled rows on the driver; scoring is a narrow map over whole texts.
 """
@@ -28,10 +28,25 @@ WIDTHS = (1, 2, 3)
 CACHE = 200_000
 
 
+#: Lengths of the prefixes that a word's embedding also sums, so inflected forms share what their stem learned.
+PREFIXES = (3, 4, 5, 6)
+
+
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
 
 
+def word_features(word: str) -> list[int]:
+    """Hashes of the word and of its prefixes; 0 where the word is not longer than the prefix."""
+    if not word:
+        return [0] * (1 + len(PREFIXES))
+    return [word_hash(word), *[word_hash("^" + word[:n]) if len(word) > n else 0 for n in PREFIXES]]
+
+
+def features_of(words: list[str]) -> np.ndarray:
+    return np.array([word_features(w) for w in words], np.uint64).reshape(len(words), 1 + len(PREFIXES))
+
+
 @dataclass
 class ToxicityModel:
     """Weights; ``known`` marks hashed words that training saw often enough, others embed to zero."""
@@ -46,9 +61,14 @@ class ToxicityModel:
     threshold: float = 0.5
 
     def embed(self, hashes: np.ndarray) -> np.ndarray:
+        """Embeddings of words given as rows of feature hashes."""
         mask = np.uint64((1 << TABLE_BITS) - 1)
-        a, b = hashes & mask, (hashes >> np.uint64(TABLE_BITS)) & mask
-        return (self.tables[0][a] + self.tables[1][b]) * self.is_known(hashes)[:, None]
+        out = np.zeros((len(hashes), self.tables.shape[2]), np.float32)
+        for own in hashes.T:
+            some = np.flatnonzero(self.is_known(own))
+            a, b = own[some] & mask, (own[some] >> np.uint64(TABLE_BITS)) & mask
+            out[some] += self.tables[0][a] + self.tables[1][b]
+        return out
 
     def is_known(self, hashes: np.ndarray) -> np.ndarray:
         k = (hashes >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
@@ -100,15 +120,15 @@ def train_model(
     model.out_bias = float(np.log(share / (1 - share)))
     index: dict[str, int] = {"": 0}
     docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
-    hashes = np.array([word_hash(w) for w in index], np.uint64)
-    seen = np.zeros(len(index), np.int64)
+    hashes = features_of(list(index))
+    unique, place = np.unique(hashes, return_inverse=True)
+    place = place.reshape(hashes.shape)
+    seen = np.zeros(len(unique), np.int64)
     for d in docs:
-        seen[np.unique(d)] += 1
-    seen[0] = 0
-    often = (hashes[seen >= min_docs] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        seen[np.unique(place[np.unique(d)])] += 1
+    often = (unique[(seen >= min_docs) & (unique != 0)] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
     np.bitwise_or.at(model.known, often >> 3, (1 << (often & 7)).astype(np.uint8))
-    model.known[0] &= 0xFE
-    hashes[0] = 0  # padding is never known
+    model.known[0] &= 0xFE  # padding and absent prefixes are never known
     mask = (1 << TABLE_BITS) - 1
     rows = np.stack([(hashes & np.uint64(mask)), (hashes >> np.uint64(TABLE_BITS)) & np.uint64(mask)]).astype(np.int64)
     params = [model.tables, *model.filters, model.bias, model.out]
@@ -124,7 +144,7 @@ def train_model(
             starts = np.cumsum([0, *[len(docs[i]) + PAD for i in own[:-1]]])
             words, ids = np.unique(flat, return_inverse=True)
             e = model.embed(hashes[words])
-            known = model.is_known(hashes[words])[:, None]
+            known = model.is_known(hashes[words]).astype(bool)
             ends = np.r_[starts[1:], len(flat)]
             grads = [np.zeros_like(p) for p in params]
             grad_e = np.zeros_like(e)
@@ -151,9 +171,10 @@ def train_model(
                     w = ids[np.minimum(best[k] + j, len(flat) - 1)]  # (documents, filters)
                     grads[1 + k][j] += np.einsum("nfd,nf->df", e[w], dk)
                     np.add.at(grad_e, w, dk[:, :, None] * model.filters[k][j].T[None, :, :])
-            grad_e *= known
-            for t in (0, 1):
-                np.add.at(grads[0][t], rows[t][words], grad_e)
+            for j in range(hashes.shape[1]):
+                some = known[:, j]
+                for t in (0, 1):
+                    np.add.at(grads[0][t], rows[t][words[some], j], grad_e[some])
             step += 1
             for p_, g, m, v in zip(params, grads, first, second, strict=True):
                 if p_ is not model.tables:
@@ -186,7 +207,7 @@ class Scorer:
         if new:
             for w in new:
                 self.index[w] = len(self.index)
-            more = self.model.taps(self.model.embed(np.array([word_hash(w) for w in new], np.uint64)))
+            more = self.model.taps(self.model.embed(features_of(new)))
             self.table = [[np.concatenate([a, b]) for a, b in zip(x, y, strict=True)] for x, y in zip(self.table, more, strict=True)]
         get = self.index.__getitem__
         flat = np.zeros(sum(map(len, words)) + PAD * len(words), np.int64)
