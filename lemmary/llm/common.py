@@ -37,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes that leave rows in the partitions and the order of the stored table.
+_IN_PLACE = {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """A frame whose rows have the same numbers (monotonically_increasing_id) whichever columns are read.
+
+    A scan with projections and filters has that already. Anything else could
+    deal its rows out anew for other columns, and is written to the shared folder.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ", 1)[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    return df if nodes <= _IN_PLACE else written(df, "rows")
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

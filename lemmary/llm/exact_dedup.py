@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import text_of, written
+from lemmary.llm.common import stable, text_of, written
 
 #: Tasks compare blocks within a bucket; the bucket is the upper part of a name.
 BUCKETS = 1 << 20
@@ -134,6 +134,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns."""
-    dropped = exact_dedup(docs, id_column, text_column).filter(~F.col("kept")).select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(dropped, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = stable(docs)
+    dropped = exact_dedup(docs, id_column, text_column).filter(~F.col("kept")).select(F.col("rid").alias("__rid"))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(dropped, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import running, text_of, written
+from lemmary.llm.common import running, stable, text_of, written
 
 #: Kinds in the order that breaks ties, their patterns, the group that is measured, its least length, their role.
 STRONG = [
@@ -132,6 +132,7 @@ def redact_secrets(
     Overlapping spans become one mark. Only rows that hold a span change; a null
     text stays null.
     """
+    docs = stable(docs)
     _, found = spans(docs, id_column, text_column, scope)
     # Merge overlapping spans: a span opens a new mark when it starts at or after all ends before it.
     up = running("rid", F.col("start"), F.col("end"))
@@ -141,21 +142,21 @@ def redact_secrets(
     marked = found.withColumn("opened", opened)
     marked = marked.withColumn("g", F.coalesce(group, F.lit(0)) + F.col("opened"))
     merged = marked.groupBy("rid", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    by_row = merged.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
-    n = F.size("_s")
+    by_row = merged.groupBy(F.col("rid").alias("__rid")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__s"))
+    n = F.size("__s")
     piece = lambda x, i: F.concat(
         F.lit(mark),
         F.substring(
-            F.col("_t"),
+            F.col("__t"),
             (x["end"] + 1).cast("int"),
-            (F.when(i + 1 < n, F.get("_s", i + 1)["start"]).otherwise(F.length("_t")) - x["end"]).cast("int"),
+            (F.when(i + 1 < n, F.get("__s", i + 1)["start"]).otherwise(F.length("__t")) - x["end"]).cast("int"),
         ),
     )
-    clean = F.concat(F.substring(F.col("_t"), F.lit(1), F.get("_s", F.lit(0))["start"].cast("int")), F.array_join(F.transform("_s", piece), ""))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(by_row, "_rid", "left")
-    rows = rows.withColumn("_t", F.col(text_column)).withColumn(
-        text_column, F.when(F.col("_s").isNotNull(), clean).otherwise(F.col(text_column))
+    clean = F.concat(F.substring(F.col("__t"), F.lit(1), F.get("__s", F.lit(0))["start"].cast("int")), F.array_join(F.transform("__s", piece), ""))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(by_row, "__rid", "left")
+    rows = rows.withColumn("__t", F.col(text_column)).withColumn(
+        text_column, F.when(F.col("__s").isNotNull(), clean).otherwise(F.col(text_column))
     )
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_s").isNotNull(), F.length(text_column)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("__s").isNotNull(), F.length(text_column)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import components, text_of, written
+from lemmary.llm.common import components, stable, text_of, written
 
 PIVOTS = 24
 SEED = 42
@@ -76,7 +76,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", width: int = 3, words: int = 1) -> DataFrame:
     """The columns ``keep`` and ``fp``: ``words`` fingerprints of 64 bits of the whole text, as an array of longs."""
-    read = docs.select(*[F.col(c) for c in keep], text_of(text_column).alias("_t"))
+    read = docs.select(*[F.col(c) for c in keep], text_of(text_column).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,33 +238,50 @@ def simhash_groups(
     )
 
 
+def band_plan(rows: int, similarity: float, recall: float = 0.98) -> tuple[int, int, int, int]:
+    """(bits of a band, bands, words of a fingerprint, most differing bits) for a similarity of shingle sets.
+
+    A similarity s is a cosine of about 2s / (1 + s), so a bit differs with
+    probability p = arccos(2s / (1 + s)) / pi. Bands grow by a bit with each
+    doubling of the rows, so buckets of unrelated texts stay small, and there are
+    as many as a pair at s needs to share one with probability ``recall``. The
+    limit on differing bits lies two deviations above the mean at s.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = max(14, int(np.ceil(np.log2(max(rows, 1) + 1))) - 4)
+    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - p) ** bits)))
+    words = -(-bits * bands // 64)
+    total = 64 * words
+    return bits, bands, words, int(total * p + 2 * np.sqrt(total * p * (1 - p)))
+
+
+def _band(k: int, bits: int):
+    """Key of band k: ``bits`` bits of the fingerprint from bit k * bits on, which may lie in two words."""
+    word, offset = divmod(k * bits, 64)
+    mask = F.lit((1 << bits) - 1)
+    value = F.shiftrightunsigned(F.get("fp", F.lit(word)), offset)
+    if offset + bits > 64:
+        value = value.bitwiseOR(F.shiftleft(F.get("fp", F.lit(word + 1)), 64 - offset))
+    return F.xxhash64(F.lit(k), value.bitwiseAND(mask))
+
+
 def near_duplicate_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8,
-    words: int = 8, band_bits: int = 16,
-) -> DataFrame:
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
     """(rid, doc_id, group): rows whose shingles are similar share a group, the smallest row number in it.
 
-    ``words`` fingerprints make 64 x ``words`` bits; a similarity s of shingle
-    sets is a cosine of about 2s/(1+s), so fingerprints of similar texts differ
-    in a share arccos(2s/(1+s))/pi of the bits. Texts meet if a band of
-    ``band_bits`` is equal, pass the pivot tables and are linked if no more bits
-    differ than that share. Texts without words form no link. rid numbers the
-    input rows.
+    Texts meet if a band of their fingerprints is equal, pass the pivot tables
+    and are linked if no more bits differ than the plan allows. Equal
+    fingerprints are one row before that. Texts without words form no link. rid
+    numbers the input rows.
     """
-    total = 64 * words
-    limit = int(total * np.arccos(2 * similarity / (1 + similarity)) / np.pi + np.sqrt(total) / 4)
     read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    bits, bands, words, limit = band_plan(docs.count(), similarity)
     table = written(fingerprints(read, ["rid", "doc_id"], "text", width, words), "simhash")
-    some = F.exists("fp", lambda x: x != 0)
-    distinct = written(table.filter(some).groupBy("fp").agg(F.min("rid").alias("low")), "simhash-distinct")
-    per = 64 // band_bits
-    bands = F.explode(
-        F.array(*[
-            F.xxhash64(F.lit(w * per + b), F.shiftrightunsigned(F.get("fp", F.lit(w)), b * band_bits).bitwiseAND(F.lit((1 << band_bits) - 1)))
-            for w in range(words) for b in range(per)
-        ])
-    )
-    keyed = distinct.select(bands.alias("key"), F.col("low").alias("id"), "fp")
+    distinct = written(
+        table.filter(F.exists("fp", lambda x: x != 0)).groupBy("fp").agg(F.min("rid").alias("low")), "simhash-distinct"
+    )
+    keyed = distinct.select(F.explode(F.array(*[_band(k, bits) for k in range(bands)])).alias("key"), F.col("low").alias("id"), "fp")
     label = components(bucket_links(keyed, limit, 1 << 40))
     named = distinct.join(label.withColumnRenamed("node", "low"), "low", "left").select("fp", F.coalesce("label", "low").alias("group"))
     return table.join(named, "fp", "left").select("rid", "doc_id", F.coalesce("group", "rid").alias("group"))
@@ -272,8 +289,9 @@ def near_duplicate_groups(
 
 def keep_one_of_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The input rows with one row of each near-duplicate group, the first read; all columns stay."""
-    dropped = near_duplicate_groups(docs, id_column, text_column, **how).filter("rid <> group").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(dropped, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = stable(docs)
+    dropped = near_duplicate_groups(docs, id_column, text_column, **how).filter("rid <> group").select(F.col("rid").alias("__rid"))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(dropped, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
