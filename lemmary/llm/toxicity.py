@@ -80,12 +80,14 @@ class ToxicityModel:
 
 
 def _responses(taps: list[list[np.ndarray]], ids: np.ndarray, starts: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """(documents, widths * filters): the largest response in each document; ids end each document with padding."""
+    """(documents, widths * filters): the largest response in each document; ids end each document with padding (id 0)."""
+    padding = np.flatnonzero(ids == 0)
     out = []
     for k, own in enumerate(taps):
         r = own[0][ids].copy()
         for j in range(1, len(own)):
             r[:-j] += own[j][ids[j:]]
+        r[padding] = 0  # a window that begins there would reach into the next document
         out.append(np.maximum.reduceat(r, starts, axis=0) + bias[k])
     return np.concatenate(out, axis=1)
 
@@ -154,6 +156,7 @@ def train_model(
                 r = own_taps[0][ids].copy()
                 for j in range(1, len(own_taps)):
                     r[:-j] += own_taps[j][ids[j:]]
+                r[flat == 0] = 0
                 arg = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
                 best.append(arg)
                 hidden.append(np.take_along_axis(r, arg, 0) + bias[k])
@@ -167,6 +170,7 @@ def train_model(
             for k, width in enumerate(WIDTHS):
                 dk = dz[:, k * filters : (k + 1) * filters]
                 grads[1 + len(WIDTHS)][k] += dk.sum(axis=0)
+                dk = dk * (flat[best[k]] != 0)
                 for j in range(width):
                     w = ids[np.minimum(best[k] + j, len(flat) - 1)]  # (documents, filters)
                     grads[1 + k][j] += np.einsum("nfd,nf->df", e[w], dk)
