@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 
 from lemmary.functions.text import strip, words
 
-# Verbs that take "not", and irregular plurals.
-AUXILIARIES = ["is", "are", "was", "were", "has", "have", "had", "do", "does", "did", "can", "could", "will", "would", "should", "must"]
-QUESTION_VERBS = ["is", "are", "was", "were", "has", "have", "had", "can", "could", "will", "would", "should", "must"]
-IRREGULAR = {"man": "men", "woman": "women", "child": "children", "person": "people", "foot": "feet", "tooth": "teeth", "mouse": "mice", "goose": "geese"}
+# What a negation puts in place of each verb in this order, words that are negative already, and irregular plurals.
+NEGATED = {
+    "is": "is not", "are": "are not", "was": "was not", "were": "were not", "am": "am not", "can": "cannot", "will": "will not",
+    "would": "would not", "should": "should not", "could": "could not", "may": "may not", "might": "might not", "must": "must not",
+    "have": "have not", "has": "has not", "had": "had not",
+}
+NEGATIVE = (
+    "not no never nothing nobody nowhere neither none cannot can't don't doesn't didn't won't wouldn't shouldn't couldn't isn't aren't "
+    "wasn't weren't haven't hasn't hadn't mustn't shan't mayn't mightn't"
+).split()
+IRREGULAR = {
+    "child": "children", "foot": "feet", "tooth": "teeth", "goose": "geese", "man": "men", "woman": "women", "mouse": "mice", "louse": "lice",
+    "ox": "oxen", "person": "people", "datum": "data", "phenomenon": "phenomena", "criterion": "criteria", "analysis": "analyses",
+    "basis": "bases", "crisis": "crises", "thesis": "theses", "hypothesis": "hypotheses", "axis": "axes", "appendix": "appendices",
+    "index": "indices", "matrix": "matrices", "vertex": "vertices", "radius": "radii", "nucleus": "nuclei", "stimulus": "stimuli",
+    "cactus": "cacti", "focus": "foci", "fungus": "fungi", "alumnus": "alumni",
+}
+#: Endings and what a plural makes of them, in this order.
+FOREIGN = [("us", "i"), ("is", "es"), ("on", "a"), ("um", "a"), ("ex", "ices"), ("ix", "ices")]
 WH_WORDS = ["what", "who", "whom", "whose", "which", "when", "where", "why", "how"]
 
 
@@ -22,55 +37,65 @@ def replace_first(x: Column, pattern: str, by: str) -> Column:
 
 
 def negate(x: Column) -> Column:
-    """"not" after the first auxiliary in list order that occurs; a negative statement stays; otherwise "It is not true that ..."."""
+    """The first verb in list order that occurs made negative once; a text that holds a negative word stays; otherwise "It is not true that ..."."""
     t = strip(x)
     out = F.concat(F.lit("It is not true that "), F.lower(t))
-    for verb in reversed(AUXILIARIES):
-        pattern = rf"(?i)\b({verb})\b"
-        out = F.when(t.rlike(pattern), replace_first(t, pattern, "$1 not")).otherwise(out)
-    return F.when(t.rlike(r"(?i)\b(not|never|no)\b|n't\b"), t).otherwise(out)
+    for verb, negative in reversed(NEGATED.items()):
+        pattern = rf"(?i)\b{verb}\b"
+        out = F.when(t.rlike(pattern), replace_first(t, pattern, negative)).otherwise(out)
+    return F.when(F.exists(F.array(*[F.lit(n) for n in NEGATIVE]), lambda n: F.contains(F.lower(x), n)), x).otherwise(out)
 
 
 def yes_no_question(x: Column) -> Column:
-    """The auxiliary of "subject auxiliary rest" moved to the front; otherwise "Is it true that ...?"."""
-    t = F.regexp_replace(strip(x), r"[.?!]+$", "")
+    """The verb of a statement "subject verb rest" moved to the front; a question stays; otherwise "Is it true that ...?"."""
+    t = strip(x)
+    asked = F.endswith(t, F.lit("?")) | F.get(words(F.lower(t)), F.lit(0)).isin("what", "who", "where", "when", "why", "how", "which")
+    forms = [
+        (r"(?i)^(\w+)\s+(is|are|was|were|am)\s+(.+)$", "$2 $1 $3?"),
+        (r"(?i)^(\w+)\s+(can|could|will|would|shall|should|may|might|must)\s+(.+)$", "$2 $1 $3?"),
+        (r"(?i)^(\w+)\s+(has|have|had)\s+(.+)$", "$2 $1 $3?"),
+        (r"(?i)^(\w+)\s+(\w+s)\s+(.*)$", "Does $1 $2 $3?"),
+        (r"(?i)^(\w+)\s+(\w+ed)\s+(.*)$", "Did $1 $2 $3?"),
+    ]
     out = F.concat(F.lit("Is it true that "), F.lower(t), F.lit("?"))
-    for verb in reversed(QUESTION_VERBS):
-        pattern = rf"^(.+?)\s+{verb}\s+(.+)$"
-        out = F.when(t.rlike(pattern), F.concat(F.lit(verb.capitalize() + " "), F.regexp_replace(t, pattern, "$1"), F.lit(" "), F.regexp_replace(t, pattern, "$2"), F.lit("?"))).otherwise(out)
-    return out
+    for pattern, by in reversed(forms):
+        q = F.regexp_replace(F.regexp_replace(t, pattern, by), r"\s+", " ")
+        out = F.when(t.rlike(pattern), F.concat(F.upper(F.substring(q, 1, 1)), F.substr(q, F.lit(2)))).otherwise(out)
+    return F.when(asked, x).otherwise(out)
 
 
 def plural(x: Column) -> Column:
-    w = strip(x)
-    low = F.lower(w)
-    cut = lambda n: F.substr(w, F.lit(1), F.length(w) - n)
+    """Irregular words, then foreign endings, then s, y, f, fe and o."""
+    cut = lambda n: F.substr(x, F.lit(1), F.length(x) - n)
     out = (
-        F.when(low.rlike("(s|x|z|ch|sh)$"), F.concat(w, F.lit("es")))
-        .when(low.rlike("[^aeiou]y$"), F.concat(cut(1), F.lit("ies")))
-        .when(low.rlike("f$"), F.concat(cut(1), F.lit("ves")))
-        .when(low.rlike("fe$"), F.concat(cut(2), F.lit("ves")))
-        .otherwise(F.concat(w, F.lit("s")))
+        F.when(x.rlike("(s|sh|ch|x|z)$"), F.concat(x, F.lit("es")))
+        .when(x.rlike("[^aeiou]y$"), F.concat(cut(1), F.lit("ies")))
+        .when(x.rlike("f$"), F.concat(cut(1), F.lit("ves")))
+        .when(x.rlike("fe$"), F.concat(cut(2), F.lit("ves")))
+        .when(x.rlike("[^aeiou]o$"), F.concat(x, F.lit("es")))
+        .otherwise(F.concat(x, F.lit("s")))
     )
-    for one, many in IRREGULAR.items():
-        out = F.when(low == one, F.lit(many)).otherwise(out)
-    return out
+    for end, new in reversed(FOREIGN):
+        out = F.when(F.endswith(x, F.lit(end)), F.concat(cut(len(end)), F.lit(new))).otherwise(out)
+    return _irregular(x, IRREGULAR, out)
 
 
 def singular(x: Column) -> Column:
-    w = strip(x)
-    low = F.lower(w)
-    cut = lambda n: F.substr(w, F.lit(1), F.length(w) - n)
+    """Irregular words, then ies, ves, es and s."""
+    cut = lambda n: F.substr(x, F.lit(1), F.length(x) - n)
     out = (
-        F.when(low.rlike("ies$") & (F.length(w) > 4), F.concat(cut(3), F.lit("y")))
-        .when(low.rlike("ves$"), F.concat(cut(3), F.lit("f")))
-        .when(low.rlike("(s|x|z|ch|sh)es$"), cut(2))
-        .when(low.rlike("s$") & ~low.rlike("ss$"), cut(1))
-        .otherwise(w)
+        F.when(x.rlike("ies$") & (F.length(x) > 3), F.concat(cut(3), F.lit("y")))
+        .when(x.rlike("ves$"), F.concat(cut(3), F.lit("f")))
+        .when(x.rlike("(s|sh|ch|x|z|o)es$"), cut(2))
+        .when(x.rlike("s$") & (F.length(x) > 1), cut(1))
+        .otherwise(x)
     )
-    for one, many in IRREGULAR.items():
-        out = F.when(low == many, F.lit(one)).otherwise(out)
-    return out
+    return _irregular(x, {many: one for one, many in IRREGULAR.items()}, out)
+
+
+def _irregular(x: Column, table: dict[str, str], otherwise: Column) -> Column:
+    at = F.array_position(F.array(*[F.lit(k) for k in table]), x).cast("int")
+    return F.when(at > 0, F.get(F.array(*[F.lit(v) for v in table.values()]), at - 1)).otherwise(otherwise)
 
 
 def tense(x: Column) -> Column:
@@ -80,7 +105,7 @@ def tense(x: Column) -> Column:
     time = (
         F.when(has(r"\b(would|should)\b"), F.lit("future-in-past"))
         .when(has(r"\b(will|shall)\b"), F.lit("future"))
-        .when(has(r"\b(was|were|had|did)\b|\b[a-z]{3,}ed\b"), F.lit("past"))
+        .when(has(r"\b(was|were|had|did)\b|^(?!.*\b(have|has)\b).*\b[a-z]{3,}ed\b"), F.lit("past"))
         .otherwise(F.lit("present"))
     )
     aspect = (

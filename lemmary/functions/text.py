@@ -28,6 +28,26 @@ CLAIM_WORDS = (
     "synonym basionym pronounced below above contributes married member part belongs derived studied coextensive coordinate "
     "instance described contains includes crossing level tier valid invalid follows means called yes no true false not cannot option"
 ).split()
+DETERMINERS = (
+    "a an the this that these those my your his her its our their some any many much few little several all most every each both either neither"
+).split()
+SINGULAR_S = ["bus", "class", "glass", "pass", "gas", "this", "yes"]
+QUESTION_OPENINGS = [
+    "is it true that", "is it correct that", "is it the case that", "what is", "where is", "when is", "who is", "which is", "how many",
+    "how much", "how does", "why does",
+]
+DIFF_STOP = (
+    "a an the of is are was were to in on at from and or that this it for with by as be been being has have had do does did not no yes "
+    "next crossing upstream downstream first second"
+).split()
+PLACEHOLDER = (
+    r"\b(?:Person|People|Place|City|Town|Organization|Organisation|Org|Company|Co|Corp|Corporation|Institute|Institution|Object|Item|Thing|Entity)"
+    r"(?:_[A-Za-z]+|\d+)\b"
+)
+ANSWER_TOKENS = (
+    "yes no true false correct incorrect right wrong unknown none sí si cierto falso verdadero ja nein nee neen richtig falsch wahr "
+    "juist onjuist waar onwaar"
+).split()
 ENTAILMENT = "entailment entail entails yes same consistent paraphrase equivalent e".split()
 CONTRADICTION = "contradiction contradict contradicts no opposite inconsistent conflict c".split()
 NEUTRAL = "neutral neu unknown unrelated insufficient n".split()
@@ -395,8 +415,8 @@ def option_index(x: Column | str, n: Column) -> Column:
 def translation_valid(text: Column | str, source: Column | str, least: int = 8) -> Column:
     """Is a translation present, no answer token, no option, with Latin letters, still a question if it was one, and not too short?"""
     s = strip(text)
-    token = r"(?i)^(?:s[ií]|no|ja|nein|nee|yes|true|false|verdadero|falso|wahr|falsch|waar|onwaar|[a-d])[.!]?$"
-    option = r"^[A-Da-d][.)]\s"
+    token = r"(?i)^\s*(?:" + "|".join(ANSWER_TOKENS) + r"|[a-d1-9])\s*[.!]?\s*$"
+    option = r"^\s*[A-Da-d]\s*[.):]\s+\S"
     bad = (
         (s == "") | F.startswith(F.upper(s), F.lit("ERROR:")) | s.rlike(token) | s.rlike(option) | ~s.rlike("[A-Za-zÀ-ÖØ-öø-ÿ]")
         | (F.endswith(F.rtrim(F.coalesce(_c(source), F.lit(""))), F.lit("?")) & ~F.endswith(s, F.lit("?"))) | (F.length(s) < least)
@@ -489,27 +509,68 @@ def join_premises(parts: Column) -> Column:
     return F.when(n == 0, F.lit("")).when(n == 1, last).otherwise(F.concat(front, F.lit(", and that "), last))
 
 
-def article(x: Column | str) -> Column:
-    """'', 'a' or 'an': none after a determiner, for ids, names, or plurals; otherwise by the first letter."""
+def plural_phrase(x: Column | str) -> Column:
+    """Joined by "and" with three or more words, or ending in s, but for a few words."""
+    n = words(x)
+    last = F.lower(F.element_at(n, -1))
+    return (F.array_contains(n, "and") & (F.size(n) >= 3)) | (F.endswith(last, F.lit("s")) & ~last.isin(SINGULAR_S))
+
+
+def with_article(x: Column | str) -> Column:
+    """The phrase with "a" or "an"; as it is after a determiner, for identifiers, names, phrases with a colon and plurals."""
     t = strip(x)
-    n = words(t)
-    low = F.lower(t)
-    plural = (F.size(n) >= 3) & F.array_contains(n, "and") | F.endswith(low, F.lit("s"))
+    first = F.lower(F.get(words(t), F.lit(0)))
+    keep = (
+        first.isin(DETERMINERS) | t.rlike(r"^(LOC\d+|[A-Za-z0-9]*\d[A-Za-z0-9]*_\w+|[A-Z]{2,}_\w*\d\w*)$")
+        | t.rlike("^\\p{Lu}") | F.contains(t, F.lit(":")) | plural_phrase(t)
+    )
+    return F.when(t == "", t).when(keep, t).when(first.rlike("^[aeiou]"), F.concat(F.lit("an "), t)).otherwise(F.concat(F.lit("a "), t))
+
+
+def judgement(x: Column | str) -> Column:
+    """Y, N or U from the line "Validity judgment: ..."; E for an error."""
+    said = F.upper(strip(F.regexp_extract(F.coalesce(_c(x), F.lit("")), r"(?m)^Validity judgment:(.*)$", 1)))
     return (
-        F.when(F.get(words(low), F.lit(0)).isin("the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their"), F.lit(""))
-        .when(t.rlike(r"^[QP]\d+$"), F.lit(""))
-        .when(t.rlike("^[A-Z]") | F.contains(t, F.lit(":")), F.lit(""))
-        .when(plural, F.lit(""))
-        .when(low.rlike("^[aeiou]"), F.lit("an"))
-        .otherwise(F.lit("a"))
+        F.when(is_error(x), F.lit("E")).when(said.isin("Y", "YES", "是", "合理", "VALID"), F.lit("Y"))
+        .when(said.isin("N", "NO", "否", "不合理", "INVALID"), F.lit("N")).otherwise(F.lit("U"))
+    )
+
+
+def split_context(x: Column | str) -> Column:
+    """struct(context, question): cut before the first opening in list order that occurs after the beginning."""
+    x = _c(x)
+    low = F.lower(x)
+    out = F.lit(0)
+    for p in reversed(QUESTION_OPENINGS):
+        at = F.instr(low, p)
+        out = F.when(at > 1, at).otherwise(out)
+    context = F.when(out > 1, strip(F.substr(x, F.lit(1), out - 1))).otherwise(F.lit(""))
+    return F.struct(context.alias("context"), F.when(out > 1, strip(F.substr(x, out))).otherwise(x).alias("question"))
+
+
+def percent(rate: Column) -> Column:
+    return F.when(rate.isNull(), F.lit("N/A")).otherwise(F.concat(F.regexp_replace(F.format_number(rate * 100, 2), ",", ""), F.lit("%")))
+
+
+def training_answer(kind: Column, answer: Column, options: Column, reason: Column) -> Column:
+    """Reasoning and answer by question type; a multiple choice answer becomes its letter."""
+    at = F.array_position(F.transform(options, strip), strip(answer)).cast("int")
+    said = (
+        F.when(kind == "yes_no", F.when(answer == "true", F.lit("Yes")).when(answer == "false", F.lit("No")).otherwise(answer))
+        .when(kind == "true_false", F.when(answer == "true", F.lit("True")).when(answer == "false", F.lit("False")).otherwise(answer))
+        .when((kind == "multiple_choice") & (at > 0), F.char(F.lit(64) + at))
+        .otherwise(answer)
     )
+    because = F.when(strip(reason) != "", F.concat(F.lit("Reasoning: Based on the given rule '"), reason, F.lit("', I can determine the answer.\n\n"))).otherwise(F.lit(""))
+    return F.concat(F.coalesce(because, F.lit("")), F.lit("Answer: "), said)
 
 
-def judgement(x: Column | str) -> Column:
-    """Y, N or U from a judge's text; E for an error or a missing text."""
-    t = strip(x)
-    letter = F.upper(F.regexp_extract(t, r"(?i)^[^A-Za-z]*([YNU])(?:es|o|nknown|nclear)?\b", 1))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("E")).when(is_error(t), F.lit("E")).when(letter != "", letter).otherwise(F.lit("U"))
+def smart_lower(x: Column | str) -> Column:
+    """First letter low unless the first word is an acronym or holds digits; "Template: x" and "Category: x" without the space."""
+    t = F.regexp_replace(_c(x), r"\b(Template|Category)\s*:\s+", "$1:")
+    first = F.get(words(t), F.lit(0))
+    keep = first.rlike(r"^[A-Z]{2,}|[0-9:]")
+    return F.when(keep, t).otherwise(F.concat(F.lower(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
 
 
 def entity_kind(x: Column | str) -> Column:
