@@ -163,3 +163,44 @@ def wh_question(statement: Column, focus: Column, word: Column) -> Column:
     """The focus entity replaced by the question word, with a question mark."""
     t = F.regexp_replace(strip(statement), r"[.?!]+$", "")
     return F.concat(F.replace(t, focus, word), F.lit("?"))
+
+
+def grammar_shape(x: Column) -> Column:
+    """struct(verb, preposition, shape) of a relation's label: its first word if that is a verb form, its last word if that is a preposition."""
+    n = words(F.lower(x))
+    first, last = F.get(n, F.lit(0)), F.element_at(n, -1)
+    verb = first.isin(*NEGATED) | first.rlike("(ed|ing|s)$")
+    preposition = last.isin("of", "in", "by", "to", "at", "on", "for", "from", "with", "as")
+    shape = (
+        F.when(verb & preposition, F.lit("verb preposition")).when(verb, F.lit("verb")).when(preposition, F.lit("noun preposition")).otherwise(F.lit("noun"))
+    )
+    return F.struct(F.when(verb, first).alias("verb"), F.when(preposition, last).alias("preposition"), shape.alias("shape"))
+
+
+def analysis(x: Column) -> Column:
+    """struct(kind, polarity, tense, words) of a sentence."""
+    return F.struct(sentence_kind(x).alias("kind"), polarity(x).alias("polarity"), tense(x).alias("tense"), F.size(words(x)).alias("words"))
+
+
+#: Openings that a paraphrase exchanges.
+PARAPHRASES = [("is it true that", "is it the case that"), ("given that", "assuming that"), ("which of the following", "which one of these"), ("based on", "according to")]
+
+
+def paraphrase(x: Column) -> Column:
+    """The first known opening exchanged for its equivalent; others stay."""
+    out = x
+    for a, b in reversed(PARAPHRASES):
+        out = F.when(F.contains(F.lower(x), F.lit(a)), replace_first(x, rf"(?i){a}", b)).otherwise(out)
+    return out
+
+
+def statement_of(question: Column, answer: Column) -> Column:
+    """A yes/no question "is X Y?" as "X is Y" (negated for the answer no); a WH question with its word replaced by the answer."""
+    q = F.regexp_replace(strip(question), r"\?+$", "")
+    yes_no = F.regexp_replace(q, r"(?i)^(is|are|was|were|can|will|does|do|did)\s+(\w+)\s+(.*)$", "$2 $1 $3")
+    wh = F.regexp_replace(q, r"(?i)^(what|who|where|when|which \w+)\b", "WH")
+    said = F.lower(strip(answer))
+    return (
+        F.when(F.startswith(said, F.lit("no")), negate(yes_no)).when(F.startswith(said, F.lit("yes")), yes_no)
+        .when(F.startswith(wh, F.lit("WH")), F.concat(strip(answer), F.substr(wh, F.lit(3)))).otherwise(q)
+    )

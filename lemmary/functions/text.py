@@ -581,3 +581,31 @@ def entity_kind(x: Column | str) -> Column:
     return (
         F.when(any_of(low, PLACE_WORDS), F.lit("place")).when(any_of(low, GROUP_WORDS), F.lit("organization")).when(person, F.lit("person")).otherwise(F.lit("object"))
     )
+
+
+def split_premise(x: Column | str, last: bool = True) -> Column:
+    """struct(premise, main): cut at the last (or first) comma outside parentheses; no premise without one.
+
+    Parts between commas are counted for open parentheses, so nothing walks the
+    text character by character.
+    """
+    x = _c(x)
+    parts = F.split(x, ",", -1)
+    opened = lambda a: count_of(a, "(") - count_of(a, ")")
+    before = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ","))
+    cuts = F.filter(F.slice(before, F.lit(1), F.size(parts) - 1), lambda a: opened(a) == 0)
+    at = F.length(F.element_at(cuts, -1 if last else 1))
+    some = F.size(cuts) > 0
+    return F.struct(
+        F.when(some, strip(F.substr(x, F.lit(1), at))).otherwise(F.lit("")).alias("premise"),
+        F.when(some, strip(F.substr(x, at + 2))).otherwise(x).alias("main"),
+    )
+
+
+def answer_spans(x: Column | str) -> Column:
+    """Candidate answers of a text, each once: runs of capitalised words, quoted parts, parts in parentheses."""
+    x = F.coalesce(_c(x), F.lit(""))
+    runs = F.regexp_extract_all(x, F.lit(r"(\b\p{Lu}\w*(?:\s+\p{Lu}\w*)*)"), F.lit(1))
+    quoted = F.regexp_extract_all(x, F.lit('"([^"]+)"'), F.lit(1))
+    inside = F.regexp_extract_all(x, F.lit(r"\(([^)]+)\)"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(runs, quoted, inside), strip))
