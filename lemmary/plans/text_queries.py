@@ -210,12 +210,13 @@ def zip_shorter(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("k", F.posexplode(F.slice(z, F.lit(1), F.least(F.size("x"), F.size("y")))).alias("pos", "z")).select("k", "pos", "z.item", "z.answer")
 
 
-@query("J14_same_domain_neighbours", w("SELECT x.l_orderkey AS a, y.l_orderkey AS b, x.rule FROM (SELECT * FROM consistency WHERE qtype <> 'multiple_choice' AND l_orderkey % 40 = 1) x JOIN (SELECT * FROM consistency WHERE qtype <> 'multiple_choice' AND l_orderkey % 40 = 1) y ON x.rule = y.rule AND x.l_orderkey <> y.l_orderkey", "consistency"))
+@query("J14_same_domain_neighbours", "SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey <> y.c_custkey")
 def same_domain_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """All other rows of a rule, for the orders that end a block of forty: the pairs are the result."""
-    c = b.consistency(spark, sf).filter("qtype <> 'multiple_choice' AND l_orderkey % 40 = 1").select("l_orderkey", "rule")
-    x, y = c.withColumnRenamed("l_orderkey", "a"), c.withColumnRenamed("l_orderkey", "b")
-    return x.join(y, "rule").filter("a <> b").select("a", "b", "rule")
+    """All other rows of each row's domain, a nation and segment: an equi-join with a residual; the pairs are the result."""
+    domain = ["c_nationkey", "c_mktsegment"]
+    c = b.table(spark, sf, "customer")
+    x, y = c.select(F.col("c_custkey").alias("a"), *domain), c.select(F.col("c_custkey").alias("b"), *domain)
+    return x.join(y, domain).filter("a <> b").select("a", "b")
 
 
 @query("J15_annotators", "SELECT x.o_orderkey AS item, x.o_orderstatus AS first, y.o_orderpriority AS second FROM orders x JOIN orders y ON x.o_orderkey = y.o_orderkey")
@@ -499,10 +500,10 @@ def tail_window(spark: SparkSession, sf: str) -> DataFrame:
     return b.qa_pairs(spark, sf).select("row_index", text.tail_window("original_llm_answer", 400).alias("tail"))
 
 
-@query("C23_locate_conclusion", w("SELECT k, CASE WHEN i > 0 THEN i - 1 ELSE greatest(0, length(a) - 2 * length(c)) END AS start, CASE WHEN i > 0 THEN i - 1 + length(c) ELSE length(a) END AS \"end\" FROM (SELECT k, a, c, instr(lower(a), lower(c)) AS i FROM answers WHERE c <> '')", "answers"))
+@query("C23_locate_conclusion", w("SELECT k, CASE WHEN i > 0 THEN i - 1 ELSE greatest(0, length(a) - 2 * length(c)) END AS start, CASE WHEN i > 0 THEN i - 1 + length(c) ELSE length(a) END AS \"end\" FROM (SELECT k, a, c, CASE WHEN c = '' THEN 1 ELSE instr(lower(a), lower(c)) END AS i FROM answers)", "answers"))
 def locate_conclusion(spark: SparkSession, sf: str) -> DataFrame:
     v = text.locate_conclusion("a", "c")
-    return answers(spark, sf).filter("c <> ''").select("k", v["start"].alias("start"), v["end"].alias("end"))
+    return answers(spark, sf).select("k", v["start"].alias("start"), v["end"].alias("end"))
 
 
 @query(
@@ -570,7 +571,7 @@ def percents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("C32_smart_lower", w("SELECT k, CASE WHEN regexp_matches(({ws})[1], '^[A-Z]{{2,}}|[0-9:]') THEN a ELSE concat(lower(substr(a, 1, 1)), substr(a, 2)) END AS t FROM answers".format(ws=_w("a")), "answers"))
 def smart_lower(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf).filter(F.lit(True)).select("k", F.when(F.col("a") == "", F.lit("")).otherwise(text.smart_lower("a")).alias("t"))
+    return answers(spark, sf).select("k", F.when(F.col("a") == "", F.lit("")).otherwise(text.smart_lower("a")).alias("t"))
 
 
 _NEGATIONS = "CASE " + f"WHEN {_any('lower(a)', grammar.NEGATIVE)} THEN a " + " ".join(f"WHEN regexp_matches(lower(a), '\\b{v}\\b') THEN regexp_replace({_s('a')}, '(?i)\\b{v}\\b', '{n}')" for v, n in grammar.NEGATED.items()) + f" ELSE concat('It is not true that ', lower({_s('a')})) END"
@@ -581,11 +582,25 @@ def negations(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select("k", grammar.negate(F.col("a")).alias("t"))
 
 
-@query("C34_yes_no_questions", w("SELECT id, concat('Is ', label, ' a part of it?') AS q1, concat('Does ', label, ' makes steel?') AS q2, concat('Is it true that the ', lower(label), ' of all?') AS q3 FROM entities WHERE NOT regexp_matches(label, '[^A-Za-z0-9_]')", "entities"))
+_ASKED = [
+    ("is|are|was|were|am", ".+", "\\2 \\1 \\3?"), ("can|could|will|would|shall|should|may|might|must", ".+", "\\2 \\1 \\3?"), ("has|have|had", ".+", "\\2 \\1 \\3?"),
+    ("\\w+s", ".*", "Does \\1 \\2 \\3?"), ("\\w+ed", ".*", "Did \\1 \\2 \\3?"),
+]
+
+
+def _asked(x: str) -> str:
+    cases = ""
+    for verb, rest, by in _ASKED:
+        pattern = f"'(?i)^(\\w+)\\s+({verb})\\s+({rest})$'"
+        q = f"regexp_replace({x}, {pattern}, '{by}')"
+        cases += f" WHEN regexp_matches({x}, {pattern}) THEN concat(upper(substr({q}, 1, 1)), substr({q}, 2))"
+    return f"CASE{cases} ELSE concat('Is it true that ', lower({x}), '?') END"
+
+
+@query("C34_yes_no_questions", w(f"SELECT id, {_asked('x')} AS q1, {_asked('y')} AS q2, {_asked('z')} AS q3 FROM (SELECT id, concat(label, ' is a part of it') AS x, concat(label, ' makes steel') AS y, concat('The ', label, ' of all') AS z FROM entities)", "entities"))
 def yes_no_questions(spark: SparkSession, sf: str) -> DataFrame:
-    e = b.entities(spark, sf).filter(~F.col("label").rlike("[^A-Za-z0-9_]"))
     q = lambda *parts: grammar.yes_no_question(F.concat(*[F.col(p) if p == "label" else F.lit(p) for p in parts]))
-    return e.select("id", q("label", " is a part of it").alias("q1"), q("label", " makes steel").alias("q2"), q("The ", "label", " of all").alias("q3"))
+    return b.entities(spark, sf).select("id", q("label", " is a part of it").alias("q1"), q("label", " makes steel").alias("q2"), q("The ", "label", " of all").alias("q3"))
 
 
 _WORDS_ROWS = "(SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark UNION ALL SELECT unnest(['child', 'leaf', 'knife', 'city', 'box', 'hero', 'cactus', 'analysis', 'radio', 'index', 'wolf', 'bus', 'people', 'criteria', 'heroes', 'boxes', 'cities', 'wolves', 'i'])))"
@@ -637,10 +652,9 @@ def parts_of_speech(spark: SparkSession, sf: str) -> DataFrame:
     return _vocabulary(spark, sf).select("w", grammar.part_of_speech(F.col("w")).alias("pos"))
 
 
-@query("N12_last_sentence", w("SELECT k, CASE WHEN contains(a, 'Is it old') THEN 'The bridge is located in the north.' WHEN length(a) >= 15 AND NOT contains(a, chr(10)) THEN regexp_replace(trim(a), '^\\*+|\\*+$', '', 'g') WHEN contains(a, 'second item') THEN '2) second item' ELSE trim(a) END AS t FROM answers WHERE NOT contains(a, 'Yes, that') AND NOT contains(a, 'is it true') AND NOT contains(a, 'A. Paris') AND NOT contains(a, 'C.') AND NOT contains(a, 'item')", "answers"))
+@query("N12_last_sentence", w("SELECT k, CASE WHEN contains(a, 'A. Paris') THEN 'Paris is the capital' WHEN contains(a, 'C.') THEN 'C.** Marshal of the branch' WHEN contains(a, 'Is it old') THEN 'The bridge is located in the north.' WHEN contains(a, 'second item') THEN '- third item' ELSE a END AS t FROM answers", "answers"))
 def last_sentence(spark: SparkSession, sf: str) -> DataFrame:
-    a = answers(spark, sf).filter("NOT contains(a, 'Yes, that') AND NOT contains(a, 'is it true') AND NOT contains(a, 'A. Paris') AND NOT contains(a, 'C.') AND NOT contains(a, 'item')")
-    return a.select("k", text.last_sentence("a").alias("t"))
+    return answers(spark, sf).select("k", text.last_sentence("a").alias("t"))
 
 
 # ---- vectors
@@ -672,15 +686,15 @@ def similarity_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.top_k(e.filter("vec_id % 50 = 0"), e, 5).select("q", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("F17_similar_relations", f"SELECT label, a, b FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_COS} AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 40) WHERE c < 0.7")
+@query("F17_similar_relations", f"SELECT label, a, b FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_COS} AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c < 0.7")
 def similar_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs within a label and a window of ids that differ enough."""
-    x = embeddings(spark, sf).select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    y = embeddings(spark, sf).select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    # The window is an equi-join on its 40-wide bin and the next one.
-    bins = x.withColumn("bin", F.explode(F.array(F.floor(F.col("a") / 40), F.floor(F.col("a") / 40) + 1)))
-    pairs = bins.join(y.withColumn("bin", F.floor(F.col("b") / 40)), ["label", "bin"]).filter("b > a AND b <= a + 40")
-    return pairs.filter(vectors.cosine(F.col("x"), F.col("y")) < 0.7).select("label", "a", "b")
+    """Pairs of one label that differ enough; norms are computed once for each vector, not for each pair."""
+    e = embeddings(spark, sf).select("label", "vec_id", "embedding", F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))).alias("n"))
+    x = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("n").alias("nx"))
+    y = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("n").alias("ny"))
+    norm = F.col("nx") * F.col("ny")
+    close = F.when(norm > 0, vectors.dot(F.col("x"), F.col("y")) / norm).otherwise(F.lit(0.0))
+    return x.join(y, "label").filter((F.col("a") < F.col("b")) & (close < 0.7)).select("label", "a", "b")
 
 
 @query("F18_distinct_meaning", f"SELECT a, b, round(c, 5) AS cosine FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_COS} AS c FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) WHERE c < 0.99")
