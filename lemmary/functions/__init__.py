@@ -1 +1 @@
-
+"""Column -> Column functions; all run inside the JVM."""

@@ -1 +1 @@
-
+"""Rule compiler, table bindings and registered queries."""

@@ -1 +1 @@
-
+"""Readers, writers and injected model calls."""

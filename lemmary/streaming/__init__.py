@@ -1 +1 @@
-
+"""Structured Streaming forms; an extension beyond the batch operators."""
