@@ -15,20 +15,20 @@ def order_key(seed: int, *columns: str) -> Column:
 def stratified(frame: DataFrame, strata: Sequence[str], key: Sequence[str], target: int, seed: int = 42) -> DataFrame:
     """max(1, target // strata) rows of each stratum, then a fill of the rest up to ``target``; more than that with many strata.
 
-    Strata are trimmed by a window that Spark limits before the shuffle; the fill
-    is a top-k.
+    The share is known before the window runs, so Spark trims each stratum
+    before the shuffle; the fill is a top-k.
     """
+    n = frame.select(*strata).distinct().count()
+    if not n:
+        return frame.limit(0)
     keyed = frame.withColumn("_o", order_key(seed, *key))
-    n = keyed.select(*strata).distinct().agg(F.count(F.lit(1)).alias("_s"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_o", *key))).crossJoin(n)
-    base = F.greatest(F.lit(1), F.floor(F.lit(target) / F.col("_s")))
-    first = ranked.filter(F.col("_r") <= base)
-    taken = first.agg(F.count(F.lit(1)).alias("n")).first().n
-    out = first.drop("_r", "_s", "_o")
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_o", *key)))
+    first = ranked.filter(F.col("_r") <= max(1, target // n)).drop("_r")
+    taken = first.count()
     if taken >= target:
-        return out
-    rest = ranked.filter(F.col("_r") > base).orderBy("_o", *key).limit(target - taken)
-    return out.unionByName(rest.drop("_r", "_s", "_o"))
+        return first.drop("_o")
+    rest = keyed.join(first.select(*key), list(key), "left_anti").orderBy("_o", *key).limit(target - taken)
+    return first.unionByName(rest).drop("_o")
 
 
 def per_group(frame: DataFrame, groups: Sequence[str], sub: str, key: Sequence[str], k: int, seed: int = 42) -> DataFrame:
@@ -50,13 +50,22 @@ def inconsistent_first(frame: DataFrame, groups: Sequence[str], verdict: str, ke
 
 
 def split(frame: DataFrame, strata: Sequence[str], key: Sequence[str], shares: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:
-    """Add ``split``: train and validation take the floor of their share of each stratum, test the rest."""
-    r = F.row_number().over(Window.partitionBy(*strata).orderBy(order_key(seed, *key), *key))
-    sizes = frame.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    """Add ``split``: train and validation take the floor of their share of each stratum, test the rest.
+
+    Ranks are made of two parts: rows of the stratum with a lower first byte of
+    the hash, and the rank among those with the same one. So a stratum of any
+    size is sorted in 256 pieces, however large its share of the rows.
+    """
+    by = list(strata)
+    keyed = frame.withColumn("_o", order_key(seed, *key)).withColumn("_b", F.substring("_o", 1, 2))
+    counts = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    lower = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumns({"_f": F.coalesce(F.sum("_k").over(lower), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))}).drop("_k")
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_o", *key))
+    placed = keyed.withColumn("_i", inside).join(offsets, [*by, "_b"]).withColumn("_r", F.col("_f") + F.col("_i"))
     a, b = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * shares[1])
-    placed = frame.withColumn("_r", r).join(sizes, list(strata))
     name = F.when(F.col("_r") <= a, F.lit("train")).when(F.col("_r") <= a + b, F.lit("validation")).otherwise(F.lit("test"))
-    return placed.withColumn("split", name).drop("_r", "_n")
+    return placed.withColumn("split", name).select(*frame.columns, "split")
 
 
 def chunk_numbers(frame: DataFrame, order: str, size: int, out: str = "chunk") -> DataFrame:

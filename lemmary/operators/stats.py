@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmary.sources.scratch import scratch_path
+
 Z = 1.96
 Z_EXACT = 1.959963984540054
 
@@ -131,22 +133,25 @@ def tied_rank(by: str, partition: Sequence[str] = ()) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, by)) - 1) / 2
 
 
-def tied_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
-    """Add the mean-tie rank of a column over all rows without sorting rows in one task.
+def sliced_values(frame: DataFrame, column: str) -> tuple[DataFrame, dict[int, int]]:
+    """(value, _k, _p) and rows by slice: distinct values with their counts, in slices of their range numbered in order.
 
-    Distinct values are counted first; only they are ranked, in slices of their
-    range whose sizes are summed up on the driver, one number for each slice.
+    Written to the scratch folder, so the slices stay as they are; the driver
+    gets one number for each slice.
     """
+    spark = frame.sparkSession
     counts = frame.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = counts.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id())
-    from lemmary.sources.scratch import scratch_path
-
-    path = scratch_path(frame.sparkSession, "ranks")
-    sliced.write.parquet(path)
-    sliced = frame.sparkSession.read.parquet(path)
-    sizes = {r._p: r.n for r in sliced.groupBy("_p").agg(F.sum("_k").alias("n")).collect()}
-    before, total = [], 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "slices")
+    counts.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    sliced = spark.read.parquet(path)
+    return sliced, {r._p: r.n for r in sliced.groupBy("_p").agg(F.sum("_k").alias("n")).collect()}
+
+
+def tied_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the mean-tie rank of a column over all rows; only slices of distinct values are sorted."""
+    sliced, sizes = sliced_values(frame, column)
+    total, before = 0, []
     for p in sorted(sizes):
         before.append((p, total))
         total += sizes[p]
@@ -158,6 +163,38 @@ def tied_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
     return frame.join(ranked, column, "left")
 
 
+def quantiles(frame: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours; nulls without rows.
+
+    The order statistics that are needed lie in a few slices of the value's
+    range, and only those are summed up, so no task holds all values.
+    """
+    sliced, sizes = sliced_values(frame, column)
+    n = sum(sizes.values())
+    if not n:
+        return [None] * len(probabilities)
+    wanted = sorted({f(q * (n - 1)) for q in probabilities for f in (math.floor, math.ceil)})
+    places, before = {}, 0
+    for p in sorted(sizes):
+        for rank in wanted:
+            if before <= rank < before + sizes[p]:
+                places[rank] = (p, rank - before)
+        before += sizes[p]
+    upto = F.sum("_k").over(Window.partitionBy("_p").orderBy(column))
+    some = sliced.filter(F.col("_p").isin(sorted({p for p, _ in places.values()}))).withColumn("_c", upto)
+    hit = F.lit(False)
+    for p, at in places.values():
+        hit = hit | ((F.col("_p") == p) & (F.col("_c") > at) & (F.col("_c") - F.col("_k") <= at))
+    rows = some.filter(hit).select("_p", "_c", "_k", F.col(column).cast("double").alias("v")).collect()  # a row for each statistic
+    value = {rank: next(r.v for r in rows if r._p == p and r._c - r._k <= at < r._c) for rank, (p, at) in places.items()}
+    out = []
+    for q in probabilities:
+        h = q * (n - 1)
+        low, high = value[math.floor(h)], value[math.ceil(h)]
+        out.append(low + (high - low) * (h - math.floor(h)))
+    return out
+
+
 def pearson(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, r, n) of all features in one aggregation; null pairs dropped, null below ten rows or without spread."""
     aggs = []
@@ -203,10 +240,10 @@ def bucket(x: Column, edges: Column) -> Column:
 
 
 def quantile_bins(frame: DataFrame, column: str, bins: int = 4) -> DataFrame:
-    """Add ``bin``: intervals between quantiles, equal edges merged; one row of edges is joined on."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = frame.agg(F.array_distinct(F.percentile(column, at)).alias("_edges"))
-    return frame.filter(F.col(column).isNotNull()).crossJoin(edges).withColumn("bin", bucket(F.col(column), F.col("_edges")))
+    """Add ``bin``: intervals between exact quantiles, equal edges merged; the edges are literals."""
+    edges = [e for e in dict.fromkeys(quantiles(frame, column, [i / bins for i in range(bins + 1)])) if e is not None]
+    array = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    return frame.filter(F.col(column).isNotNull()).withColumn("bin", bucket(F.col(column), array) if len(edges) > 2 else F.lit(0))
 
 
 def equal_width(frame: DataFrame, column: str, most: int = 20) -> DataFrame:

@@ -265,15 +265,14 @@ def gap_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A18_score_summary",
-    w("SELECT " + ", ".join(f"round(min({s}), 6) AS {s}_min, round(max({s}), 6) AS {s}_max, round(avg({s}), 6) AS {s}_mean, round(quantile_cont({s}, 0.25), 6) AS {s}_q25, round(quantile_cont({s}, 0.5), 6) AS {s}_median, round(quantile_cont({s}, 0.75), 6) AS {s}_q75" for s in SCORES) + " FROM consistency", "consistency"),
+    w("SELECT " + ", ".join(f"round(min({s}), 9) AS {s}_min, round(max({s}), 9) AS {s}_max, round(avg({s}), 9) AS {s}_mean, round(quantile_cont({s}, 0.25), 9) AS {s}_q25, round(quantile_cont({s}, 0.5), 9) AS {s}_median, round(quantile_cont({s}, 0.75), 9) AS {s}_q75" for s in SCORES) + " FROM consistency", "consistency"),
 )
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
-    c = b.consistency(spark, sf)
-    quantiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    aggs = [f(s).alias(f"{s}_{n}") for s in SCORES for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
-    aggs += [F.percentile(s, q).alias(f"{s}_{n}") for s in SCORES for n, q in quantiles.items()]
-    row = c.agg(*aggs)
-    return row.select(*rnd(*row.columns))
+    c = b.consistency(spark, sf).select(*SCORES)
+    row = c.agg(*[f(s).alias(f"{s}_{n}") for s in SCORES for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    exact = {f"{s}_{n}": v for s in SCORES for n, v in zip(("q25", "median", "q75"), stats.quantiles(c, s, [0.25, 0.5, 0.75]), strict=True)}
+    row = row.withColumns({n: F.lit(v).cast("double") for n, v in exact.items()})
+    return row.select(*[F.round(n, 9).alias(n) for n in row.columns])
 
 
 @query(
