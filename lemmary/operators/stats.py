@@ -133,66 +133,69 @@ def tied_rank(by: str, partition: Sequence[str] = ()) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, by)) - 1) / 2
 
 
-def sliced_values(frame: DataFrame, column: str) -> tuple[DataFrame, dict[int, int]]:
-    """(value, _k, _p) and rows by slice: distinct values with their counts, in slices of their range numbered in order.
+def sliced_values(frame: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[tuple[str, int], int]]:
+    """(_c, _v, _k, _p) and rows by (column, slice): distinct values of columns with their counts, in slices of their range numbered in order.
 
-    Written to the scratch folder, so the slices stay as they are; the driver
-    gets one number for each slice.
+    One pass for all columns. Written to the scratch folder, so the slices stay
+    as they are; the driver gets a number for each column and slice.
     """
     spark = frame.sparkSession
-    counts = frame.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
+    each = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+    rows = frame.select(F.explode(each).alias("x")).select("x._c", "x._v").filter("_v IS NOT NULL")
+    counts = rows.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_k"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "slices")
-    counts.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    counts.repartitionByRange(parts, "_c", "_v").withColumn("_p", F.spark_partition_id()).write.parquet(path)
     sliced = spark.read.parquet(path)
-    return sliced, {r._p: r.n for r in sliced.groupBy("_p").agg(F.sum("_k").alias("n")).collect()}
+    return sliced, {(r._c, r._p): r.n for r in sliced.groupBy("_c", "_p").agg(F.sum("_k").alias("n")).collect()}
 
 
 def tied_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
-    """Add the mean-tie rank of a column over all rows; only slices of distinct values are sorted."""
-    sliced, sizes = sliced_values(frame, column)
+    """Add the mean-tie rank of a numeric column over all rows; only slices of distinct values are sorted."""
+    sliced, sizes = sliced_values(frame, [column])
     total, before = 0, []
-    for p in sorted(sizes):
+    for c, p in sorted(sizes):
         before.append((p, total))
-        total += sizes[p]
+        total += sizes[c, p]
     offsets = frame.sparkSession.createDataFrame(before, "_p int, _before long")
-    within = F.coalesce(F.sum("_k").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("_k").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = sliced.join(F.broadcast(offsets), "_p").select(  # as many offsets as slices
-        column, (F.col("_before") + within + (F.col("_k") + 1) / 2).alias(out)
+        "_v", (F.col("_before") + within + (F.col("_k") + 1) / 2).alias(out)
     )
-    return frame.join(ranked, column, "left")
+    return frame.withColumn("_v", F.col(column).cast("double")).join(ranked, "_v", "left").drop("_v")
 
 
-def quantiles(frame: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Exact quantiles, interpolated between neighbours; nulls without rows.
+def quantiles(frame: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, interpolated between neighbours; nulls without rows.
 
-    The order statistics that are needed lie in a few slices of the value's
+    The order statistics that are needed lie in a few slices of the values'
     range, and only those are summed up, so no task holds all values.
     """
-    sliced, sizes = sliced_values(frame, column)
-    n = sum(sizes.values())
-    if not n:
-        return [None] * len(probabilities)
-    wanted = sorted({f(q * (n - 1)) for q in probabilities for f in (math.floor, math.ceil)})
-    places, before = {}, 0
-    for p in sorted(sizes):
-        for rank in wanted:
-            if before <= rank < before + sizes[p]:
-                places[rank] = (p, rank - before)
-        before += sizes[p]
-    upto = F.sum("_k").over(Window.partitionBy("_p").orderBy(column))
-    some = sliced.filter(F.col("_p").isin(sorted({p for p, _ in places.values()}))).withColumn("_c", upto)
+    sliced, sizes = sliced_values(frame, columns)
+    totals = {c: sum(n for (d, _), n in sizes.items() if d == c) for c in columns}
+    places: dict[tuple[str, int], tuple[int, int]] = {}
+    for c in columns:
+        before = 0
+        wanted = sorted({f(q * (totals[c] - 1)) for q in probabilities for f in (math.floor, math.ceil)}) if totals[c] else []
+        for _, p in sorted(k for k in sizes if k[0] == c):
+            places |= {(c, rank): (p, rank - before) for rank in wanted if before <= rank < before + sizes[c, p]}
+            before += sizes[c, p]
+    upto = F.sum("_k").over(Window.partitionBy("_c", "_p").orderBy("_v"))
+    some = sliced.filter(F.col("_p").isin(sorted({p for p, _ in places.values()}))).withColumn("_u", upto)
     hit = F.lit(False)
-    for p, at in places.values():
-        hit = hit | ((F.col("_p") == p) & (F.col("_c") > at) & (F.col("_c") - F.col("_k") <= at))
-    rows = some.filter(hit).select("_p", "_c", "_k", F.col(column).cast("double").alias("v")).collect()  # a row for each statistic
-    value = {rank: next(r.v for r in rows if r._p == p and r._c - r._k <= at < r._c) for rank, (p, at) in places.items()}
-    out = []
-    for q in probabilities:
-        h = q * (n - 1)
-        low, high = value[math.floor(h)], value[math.ceil(h)]
-        out.append(low + (high - low) * (h - math.floor(h)))
-    return out
+    for (c, _), (p, at) in places.items():
+        hit = hit | ((F.col("_c") == c) & (F.col("_p") == p) & (F.col("_u") > at) & (F.col("_u") - F.col("_k") <= at))
+    rows = some.filter(hit).collect() if places else []  # a row for each statistic
+    value = {k: next(r._v for r in rows if (r._c, r._p) == (k[0], p) and r._u - r._k <= at < r._u) for k, (p, at) in places.items()}
+
+    def at(c: str, q: float) -> float | None:
+        if not totals[c]:
+            return None
+        h = q * (totals[c] - 1)
+        low, high = value[c, math.floor(h)], value[c, math.ceil(h)]
+        return low + (high - low) * (h - math.floor(h))
+
+    return {c: [at(c, q) for q in probabilities] for c in columns}
 
 
 def pearson(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -241,7 +244,7 @@ def bucket(x: Column, edges: Column) -> Column:
 
 def quantile_bins(frame: DataFrame, column: str, bins: int = 4) -> DataFrame:
     """Add ``bin``: intervals between exact quantiles, equal edges merged; the edges are literals."""
-    edges = [e for e in dict.fromkeys(quantiles(frame, column, [i / bins for i in range(bins + 1)])) if e is not None]
+    edges = [e for e in dict.fromkeys(quantiles(frame, [column], [i / bins for i in range(bins + 1)])[column]) if e is not None]
     array = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
     return frame.filter(F.col(column).isNotNull()).withColumn("bin", bucket(F.col(column), array) if len(edges) > 2 else F.lit(0))
 

@@ -270,7 +270,8 @@ def gap_bins(spark: SparkSession, sf: str) -> DataFrame:
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = b.consistency(spark, sf).select(*SCORES)
     row = c.agg(*[f(s).alias(f"{s}_{n}") for s in SCORES for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
-    exact = {f"{s}_{n}": v for s in SCORES for n, v in zip(("q25", "median", "q75"), stats.quantiles(c, s, [0.25, 0.5, 0.75]), strict=True)}
+    found = stats.quantiles(c, SCORES, [0.25, 0.5, 0.75])
+    exact = {f"{s}_{n}": v for s in SCORES for n, v in zip(("q25", "median", "q75"), found[s], strict=True)}
     row = row.withColumns({n: F.lit(v).cast("double") for n, v in exact.items()})
     return row.select(*[F.round(n, 9).alias(n) for n in row.columns])
 
