@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.chunks import ChunkEncoder, rounds
+from lemmary.llm.chunks import SPLIT_KEPT, ChunkEncoder, byte_names, rounds
 from lemmary.llm.common import text_of
 
 LONG_WORD = 256
+SHIFT = 20
+#: Words that a Python worker keeps; its decoder runs beside it in another worker.
+WORDS = 250_000
 NONE = 1 << 60
-#: Fixed value: the pattern that splits text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_names() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
 class RankArrayBPE:
@@ -45,76 +40,90 @@ class RankArrayBPE:
         names = byte_names()
         value = {c: b for b, c in enumerate(names)}
         self.byte_ids = [vocab[c] for c in names]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair of ids, as one integer, and the id that each rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << SHIFT | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.pieces = [b""] * size
+        self.table = [b""] * size
         for token, i in vocab.items():
-            self.pieces[i] = bytes(value[c] for c in token)
+            self.table[i] = bytes(value[c] for c in token)
         for token, i in self.special.items():
-            self.pieces[i] = token.encode()
-        self.split = regex.compile(SPLIT)
+            self.table[i] = token.encode()
+        self.split = regex.compile(SPLIT_KEPT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, list[int]] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        found = self.merges.get((a, b))
-        return NONE if found is None else found[0]
+        self.kept = True
 
     def merge_short(self, word: bytes) -> list[int]:
-        parts = [self.byte_ids[b] for b in word]
-        ranks = [self._rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (low := min(ranks)) != NONE:
+        ids, rank_of, made = self.byte_ids, self.ranks.get, self.made
+        parts = [ids[b] for b in word]
+        ranks = [rank_of(a << SHIFT | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            low = min(ranks)
+            if low == NONE:
+                break
             i = ranks.index(low)
-            parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
-            del ranks[i]
+            new = parts[i] = made[low]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self._rank(parts[i - 1], parts[i])
+                ranks[i - 1] = rank_of(parts[i - 1] << SHIFT | new, NONE)
             if i < len(ranks):
-                ranks[i] = self._rank(parts[i], parts[i + 1])
+                ranks[i] = rank_of(new << SHIFT | parts[i + 1], NONE)
         return parts
 
     def merge_long(self, word: bytes) -> list[int]:
+        rank_of = self.ranks.get
         parts: list[int | None] = [self.byte_ids[b] for b in word]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self._rank(parts[i], parts[i + 1])) != NONE]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank_of(parts[i] << SHIFT | parts[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i] if parts[i] is not None else n
             if j >= n or parts[i] != a or parts[j] != b:
                 continue  # an older entry
-            parts[i], parts[j] = self.merges[a, b][1], None
+            parts[i], parts[j] = self.made[rank], None
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left in (before[i], i):
                 right = after[left] if left >= 0 else n
-                if left >= 0 and right < n and (r := self._rank(parts[left], parts[right])) != NONE:
+                if left >= 0 and right < n and (r := rank_of(parts[left] << SHIFT | parts[right], NONE)) != NONE:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if i % 2:
-                out.append(self.special[part])
-                continue
-            for word in self.split.findall(part):
-                raw = word.encode()
-                out += self.merge_short(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)
-        return out
+    def letters(self, word: str) -> bytes:
+        return self.word(" " + word)
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of the split, as 32-bit integers."""
+        raw = word.encode()
+        return array("i", self.merge_short(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)).tobytes()
+
+    def pieces(self, text: str) -> list[str] | None:
+        """Words of the split; None if the text holds a special token."""
+        return None if any(s in text for s in self.special) else self.split.findall(text)
+
+    def encode(self, text: str) -> bytes:
+        found = self.pieces(text)
+        if found is not None:
+            return b"".join(map(self.word, found))
+        return b"".join(
+            array("i", [self.special[part]]).tobytes() if i % 2 else b"".join(map(self.word, self.split.findall(part)))
+            for i, part in enumerate(self.cut.split(text))
+        )
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode(t) for t in texts]
+    def ids(self, text: str) -> list[int]:
+        return array("i", self.encode(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of all ids, specials included, as UTF-8; invalid bytes become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, tuple[RankArrayBPE, ChunkEncoder]] = {}
@@ -123,7 +132,7 @@ _LOADED: dict[str, tuple[RankArrayBPE, ChunkEncoder]] = {}
 def _load(path: str) -> tuple[RankArrayBPE, ChunkEncoder]:
     if path not in _LOADED:
         bpe = RankArrayBPE(path)
-        _LOADED[path] = bpe, ChunkEncoder(bpe.encode_many, "kept")
+        _LOADED[path] = bpe, ChunkEncoder(bpe, WORDS)
     return _LOADED[path]
 
 
@@ -155,7 +164,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = _load(vocabulary)
-        piece = np.array(bpe.pieces, dtype=object)
+        piece = np.array(bpe.table, dtype=object)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
             values = lists.values.to_numpy(zero_copy_only=False)

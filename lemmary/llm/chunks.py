@@ -10,60 +10,105 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
+import regex
 
 #: A space inside or at the end of a run of white space: a cut there could split one token.
 UNSAFE_SPACE = re.compile(r"\s (?!\S)")
 #: Characters that Python counts as white space and the tokenizers' patterns do not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHE = 300_000
+#: Entries of each generation of a cache.
+CACHE = 600_000
 #: Characters that are encoded in one round, whatever the size of a batch.
 ROUND_CHARS = 2_000_000
 
 
+_SPACE_PAIRS = [" " + c for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+
+
+def _plainly_safe(text: str) -> bool:
+    """ASCII text in which no space stands before white space or the end: a quick test that needs no pattern."""
+    return text.isascii() and text[-1:] != " " and not any(p in text for p in _SPACE_PAIRS)
+
+
+class Remembered(dict):
+    """Values made once for each key. When it is full the entries become the old generation, and those used again move back."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+#: Marks that are a token of their own after a word of letters.
+ENDS = ".,;:!?"
+
+
 class ChunkEncoder:
-    """encode_many: ids of each of many strings. spaces: 'kept' (a space opens the next word) or 'dropped'."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], spaces: str, cache: int = CACHE) -> None:
-        self.encode_many, self.spaces, self.cache = encode_many, spaces, cache
-        self.first: dict[str, list[int]] = {}
-        self.rest: dict[str, list[int]] = {}
-
-    def _parts(self, text: str) -> list[str] | None:
-        if self.spaces == "kept":
-            return None if UNSAFE_SPACE.search(text) else text.split(" ")
-        return None if ODD_SPACE.search(text) else text.split()
-
-    def _learn(self, words: set[str], known: dict[str, list[int]], prefix: str) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.cache:
-            known.clear()
-            new = list(words)
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            known.update(zip(some, self.encode_many([prefix + w for w in some] if prefix else some), strict=True))
+    """Encodes texts with a coder, whose results are the bytes of 32-bit integers.
+
+    kept: a space opens the next word; otherwise white space is dropped.
+    letters(w): ids of ASCII letters after a kept space, or between dropped
+    ones. word(p): ids of a piece of the split. pieces(t): the split of a text,
+    or None if the split alone does not settle it. encode(t): ids of any text.
+    """
+
+    def __init__(self, coder, cache: int = CACHE) -> None:
+        self.coder, self.kept = coder, coder.kept
+        self.first = Remembered(coder.encode, cache // 8)
+        self.rest = Remembered(self._after_space if coder.kept else self._between_spaces, cache)
+        self.parts = Remembered(coder.word, cache // 8)
+        self.ends = {c: coder.encode(c) for c in ENDS}
+
+    def _after_space(self, w: str) -> bytes:
+        if w.isalpha():  # letters only: one word of the split
+            return self.coder.letters(w) if w.isascii() else self.coder.word(" " + w)
+        if w[-1:] in self.ends and w[:-1].isalpha():
+            return self.rest[w[:-1]] + self.ends[w[-1]]
+        found = self.coder.pieces(" " + w)
+        if found is None:
+            return self.coder.encode(" " + w)
+        return b"".join([self.rest[p[1:]] if p[0] == " " and p[1:].isalpha() else self.parts[p] for p in found])
+
+    def _between_spaces(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return self.coder.letters(w.lower())
+        if w[-1] in self.ends and w[:-1].isalpha():
+            return self.rest[w[:-1]] + self.ends[w[-1]]
+        found = self.coder.pieces(w)
+        if found is None:
+            return self.coder.encode(w)
+        if len(found) == 1:
+            return self.coder.word(found[0])
+        return b"".join([self.rest[p] if p.isascii() and p.isalpha() else self.parts[p] for p in found])
+
+    def encode_text(self, text: str) -> bytes:
+        if not self.kept:
+            return self.coder.encode(text) if ODD_SPACE.search(text) else b"".join(map(self.rest.__getitem__, text.split()))
+        if not _plainly_safe(text) and UNSAFE_SPACE.search(text):
+            return self.coder.encode(text)
+        parts = text.split(" ")
+        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets of each text in them)."""
-        parts = [self._parts(t) for t in texts]
-        kept = self.spaces == "kept"
-        self._learn({p[0] for p in parts if p} if kept else set(), self.first, "")
-        self._learn(set(chain.from_iterable((p[1:] if kept else p) for p in parts if p)), self.rest, " " if kept else "")
-        whole = iter(self.encode_many([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        out, ends = [], [0]
-        for p in parts:
-            if p is None:
-                ids = np.array(next(whole), np.int32)
-            elif kept:
-                ids = np.fromiter(chain(self.first[p[0]], chain.from_iterable(map(self.rest.__getitem__, p[1:]))), np.int32)
-            else:
-                ids = np.fromiter(chain.from_iterable(map(self.rest.__getitem__, p)), np.int32)
-            out.append(ids)
-            ends.append(ends[-1] + len(ids))
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(ends, np.int64)
+        out = list(map(self.encode_text, texts))
+        ends = np.zeros(len(out) + 1, np.int64)
+        np.cumsum([len(b) // 4 for b in out], out=ends[1:])
+        return np.frombuffer(b"".join(out), np.int32), ends
 
 
 def rounds(texts: list[str], most: int = ROUND_CHARS) -> Iterable[slice]:
@@ -78,22 +123,71 @@ def rounds(texts: list[str], most: int = ROUND_CHARS) -> Iterable[slice]:
         yield slice(begin, len(texts))
 
 
-_LOADED: dict[tuple[str, str], ChunkEncoder] = {}
+#: The patterns by which the two kinds of vocabulary file split a text into words.
+SPLIT_KEPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT_DROPPED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def library_encoder(path: str, spaces: str) -> ChunkEncoder:
-    """The tokenizers library's encoder of a vocabulary file; one for each Python worker."""
-    if (path, spaces) not in _LOADED:
+def byte_names() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class LibraryWords:
+    """Encodes chunks with the tokenizers library: its model sees each distinct word once.
+
+    Words come from the vocabulary file's own split pattern. A chunk that the
+    pattern alone does not settle (special tokens, unusual case or composition)
+    goes through the library whole.
+    """
+
+    def __init__(self, path: str, spaces: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_padding()
-        tok.no_truncation()
-        shared = list(range(tok.get_vocab_size()))  # one int object for each id
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.kept = spaces == "kept"
+        self.split = regex.compile(SPLIT_KEPT if self.kept else SPLIT_DROPPED).findall
+        self.names = byte_names()
+
+    def letters(self, word: str) -> bytes:
+        """ASCII letters after a space that is kept, or between spaces that are dropped: they stand for themselves."""
+        return array("i", [t.id for t in self.model.tokenize("\u0120" + word if self.kept else word)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        named = "".join(map(self.names.__getitem__, word.encode()))
+        return array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def fold(self, chunk: str) -> str | None:
+        """Composed and in lower case, as the library does it; None where Python's lower case differs."""
+        if chunk.isascii():
+            return chunk.lower()
+        return None if "\u03a3" in chunk else unicodedata.normalize("NFC", chunk).lower()
+
+    def pieces(self, chunk: str) -> list[str] | None:
+        if "<|" in chunk or len(chunk) > 2000:
+            return None
+        text = chunk if self.kept else self.fold(chunk)
+        return None if text is None else self.split(text)
 
-        def encode_many(texts: list[str]) -> list[list[int]]:
-            return [[shared[i] for i in e.ids] for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, chunk: str) -> bytes:
+        found = self.pieces(chunk)
+        return self.whole(chunk) if found is None else b"".join(map(self.word, found))
 
-        _LOADED[path, spaces] = ChunkEncoder(encode_many, spaces)
+
+_LOADED: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def library_encoder(path: str, spaces: str) -> ChunkEncoder:
+    """The tokenizers library's encoder of a vocabulary file; one for each Python worker."""
+    if (path, spaces) not in _LOADED:
+        _LOADED[path, spaces] = ChunkEncoder(LibraryWords(path, spaces))
     return _LOADED[path, spaces]
