@@ -150,18 +150,20 @@ class LibraryWords:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ids = [array("i", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.kept = spaces == "kept"
         self.split = regex.compile(SPLIT_KEPT if self.kept else SPLIT_DROPPED).findall
         self.names = byte_names()
 
     def letters(self, word: str) -> bytes:
         """ASCII letters after a space that is kept, or between spaces that are dropped: they stand for themselves."""
-        return array("i", [t.id for t in self.model.tokenize("\u0120" + word if self.kept else word)]).tobytes()
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.tokenize("\u0120" + word if self.kept else word)])
 
     def word(self, word: str) -> bytes:
-        named = "".join(map(self.names.__getitem__, word.encode()))
-        return array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.tokenize("".join(map(self.names.__getitem__, word.encode())))])
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

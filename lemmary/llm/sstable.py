@@ -281,7 +281,7 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
                         rows, size = [], 0
                 yield _batch(rows)
 
-    return table.repartition(min(len(shards), 4 * shuffle_width(spark)), "path").mapInArrow(read, schema)
+    return table.repartition(min(len(shards), shuffle_width(spark))).mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
