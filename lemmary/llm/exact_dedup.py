@@ -121,6 +121,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .filter("group_size > 1")
         .select("long", "name", F.col("k.doc_id").alias("keep_id"), (-F.col("k.r")).alias("keep_rid"), "group_size")
     )
+    # Read from a table, both sides of the join are plain exchanges: a large group's partition can be split.
+    groups = written(groups, "copy-groups")
     alone = F.col("group_size").isNull()
     return ids.join(groups, ["long", "name"], "left").select(
         "doc_id",
