@@ -193,16 +193,30 @@ class BrownModel:
     vocabulary: DataFrame
 
 
+def frequent(vocabulary: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` words reach.
+
+    The count is read off a histogram of some thousand bins, so no task sorts or
+    gathers the words of others, as a top-k of this size would.
+    """
+    level = F.floor(F.log2("n") * 64).cast("int")
+    bins = vocabulary.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+    cut, total = None, 0
+    for r in sorted(bins, key=lambda r: -r.b):
+        total += r.k
+        if total > most:
+            break
+        cut = r.b
+    return vocabulary.filter(level >= cut) if cut is not None else vocabulary.limit(0)
+
+
 def train(texts: DataFrame, classes: int = CLASSES, weight: float = 0.98, pull: float = 20.0) -> BrownModel:
     """Learn from the column ``t`` of all rows."""
     spark = texts.sparkSession
     vocabulary = written(count_words(texts), "lm-words")
     total = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n or 0), int(total.v)
-    top = (
-        vocabulary.filter((F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0))
-        .orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).toArrow()
-    )
+    top = frequent(vocabulary.filter((F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0)), HEAD_WORDS).toArrow()
     head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     ranked = sorted(head, key=lambda w: (-head[w], w))
     words = ranked[:TYPE_WORDS]
