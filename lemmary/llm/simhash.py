@@ -112,14 +112,19 @@ def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivo
     size = np.diff(np.r_[begin, n])
     ok = np.repeat(size <= most, size)
     label = np.arange(n)
-    a_out, b_out, verified, shift = [], [], 0, 1
+    group = np.repeat(np.arange(len(begin)), size)
+    a_out, b_out, verified, shift, merged = [], [], 0, 1, False
     i = np.flatnonzero(ok)
     while len(i):
+        if merged:  # a key whose rows are all connected needs no further look
+            whole = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
+            i, merged = i[~whole[group[i]]], False
         i = i[i + shift < n]
         j = i + shift
         alive = (key[j] == key[i]) & (table[j, 0] - table[i, 0] <= limit)  # sorted by the first pivot: no later row fits either
         i, j = i[alive], j[alive]
-        a, b = i, j
+        apart = label[i] != label[j]
+        a, b = i[apart], j[apart]
         for p in range(1, table.shape[1]):
             if not len(a):
                 break
@@ -135,6 +140,7 @@ def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivo
                 if not len(a):
                     break
                 # One merge for each root in a pass: the first pair that lowers it.
+                merged = True
                 low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
                 roots, first = np.unique(high, return_index=True)
                 a_out.append(order[a[first]])
