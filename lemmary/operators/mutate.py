@@ -6,7 +6,8 @@ struct<s,p,o>. Operators return (instance_id, idx, mutated_body, expected_head).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 from itertools import combinations, islice, permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,12 +40,17 @@ def _expanded(instances: DataFrame, bodies: Column, head: Column | None = None)
     return instances.select("instance_id", F.posexplode(bodies).alias("idx", "mutated_body"), head.alias("expected_head"))
 
 
+def _table(rows: Iterable[tuple[int, ...]]) -> Column:
+    """A literal table of index lists; as JSON it folds to one constant instead of a large expression."""
+    return F.from_json(F.lit(json.dumps([list(r) for r in rows])), "array<array<int>>")
+
+
 def permute(instances: DataFrame, most_atoms: int = 6, limit: int = LIMIT) -> DataFrame:
     """Other orders of the body, lexicographic by position, the first ten that differ in value."""
     body = F.col("body")
     out = F.array().cast("array<array<int>>")
     for n in range(2, most_atoms + 1):
-        table = F.array(*[F.array(*[F.lit(i) for i in p]) for p in islice(permutations(range(n)), 720)])
+        table = _table(islice(permutations(range(n)), 720))
         out = F.when(F.size(body) == n, table).otherwise(out)
     orders = F.filter(out, lambda p: F.transform(p, lambda i: F.get(body, i)) != body)
     texts = F.transform(F.slice(orders, 1, limit), lambda p: F.array_join(F.transform(p, lambda i: atom(F.get(body, i))), JOIN))
@@ -57,7 +63,7 @@ def reduce_body(instances: DataFrame, most_atoms: int = 8, limit: int = LIMIT) -
     out = F.array().cast("array<array<int>>")
     for n in range(2, most_atoms + 1):
         drops = [(i,) for i in range(n)] + (list(combinations(range(n), 2)) if n > 3 else [])
-        table = F.array(*[F.array(*[F.lit(i) for i in d]) for d in drops])
+        table = _table(drops)
         out = F.when(F.size(body) == n, table).otherwise(out)
     texts = F.transform(F.slice(out, 1, limit), lambda d: atoms(F.filter(body, lambda x, i: ~F.array_contains(d, i))))
     return _expanded(instances, texts)
