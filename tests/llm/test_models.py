@@ -159,3 +159,32 @@ def test_minimizer_window():
     assert all(b - a <= chaining.WINDOW for a, b in zip(at, at[1:], strict=False))
     inner, where = chaining.minimizers(words[100:120])
     assert set(inner.tolist()) & set(seeds.tolist()) and len(where)
+
+
+def test_passage_whose_parts_stand_in_earlier_texts(spark):
+    """Each row: texts with parts of a passage come first, B and C hold all of it (A part alone is too short to report)."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], []
+    for i in range(30):
+        p = some(60)
+        parts = [p[:33], p[27:]] if i % 2 else [p[:20], p[20:40], p[40:]]
+        texts = [some(80) + x + some(80) for x in parts] + [some(40) + p + some(70), some(90) + p + some(30)]
+        if i % 3 == 0:  # a line of the passage stands in C before
+            texts[-1] = p[5:20] + some(9) + texts[-1]
+        ids = [100 * i + j for j in range(len(texts))]
+        rows += [(d, " ".join(t)) for d, t in zip(ids, texts, strict=True)]
+        pairs.append((ids[-1], ids[-2], len(texts[-1]) - 30 - 60, 40))
+    out = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    found = {(r.doc_id, r.other_id, r.start, r.other_start) for r in out if r.words == 60 and r.identity == 1}
+    assert found == set(pairs) and len(out) == len(pairs)
+
+
+def test_run_hashes():
+    words = np.random.default_rng(5).integers(0, 1 << 32, 200).astype(np.uint32)
+    for run in (1, 2, 7, 50):
+        h = chaining.run_hashes(words, run)
+        assert len(h) == 201 - run and len(set(h.tolist())) == len(h)
+        assert np.array_equal(chaining.run_hashes(words[30:120], run), h[30 : 121 - run])
+    assert len(chaining.run_hashes(words[:9], 10)) == 0
