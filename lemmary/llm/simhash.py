@@ -74,8 +74,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", width: int = 3, words: int = 1) -> DataFrame:
-    """The columns ``keep`` and ``fp``: ``words`` fingerprints of 64 bits of the whole text, as an array of longs."""
+def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", width: int = 3, words: int = 1, once: bool = False) -> DataFrame:
+    """The columns ``keep`` and ``fp``: ``words`` fingerprints of 64 bits of the whole text, as an array of longs; repeated shingles count ``once`` or each time."""
     read = docs.select(*[F.col(c) for c in keep], text_of(text_column).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", wi
             out = []
             for t in batch.column(len(keep)).to_pylist():
                 h = shingle_hashes(t, width)
+                h = np.unique(h) if once else h
                 out.append([_signed(fold_bits(mixed(h, k))) for k in range(words)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.int64()))], [*keep, "fp"])
 
@@ -277,13 +278,14 @@ def near_duplicate_groups(
     """(rid, doc_id, group): rows whose shingles are similar share a group, the smallest row number in it.
 
     Texts meet if a band of their fingerprints is equal, pass the pivot tables
-    and are linked if no more bits differ than the plan allows. Equal
+    and are linked if no more bits differ than the plan allows. A shingle counts
+    once however often a text repeats it, as in the similarity of sets. Equal
     fingerprints are one row before that. Texts without words form no link. rid
     numbers the input rows.
     """
     read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     bits, bands, words, limit = band_plan(docs.count(), similarity)
-    table = written(fingerprints(read, ["rid", "doc_id"], "text", width, words), "simhash")
+    table = written(fingerprints(read, ["rid", "doc_id"], "text", width, words, once=True), "simhash")
     distinct = written(
         table.filter(F.exists("fp", lambda x: x != 0)).groupBy("fp").agg(F.min("rid").alias("low")), "simhash-distinct"
     )

@@ -151,3 +151,18 @@ def test_mixed_bits_differ():
     h = np.arange(100, dtype=np.uint64)
     assert simhash.fold_bits(simhash.mixed(h, 1)) != simhash.fold_bits(simhash.mixed(h, 2))
     assert simhash.fold_bits(np.zeros(0, np.uint64)) == 0
+
+
+def test_repeated_lines_count_once(spark):
+    """A line repeated 60 times neither links different texts nor parts texts with the same shingles."""
+    rng = random.Random(21)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, rows, kept = some(8), [], set()
+    for i in range(0, 80, 4):
+        a, b, own = some(204), some(204), some(204)
+        same = own + line * 2
+        rows += [(i, a + line * 60), (i + 1, b + line * 60), (i + 2, same), (i + 3, own + line * 60)]
+        kept |= {i, i + 1, i + 2}
+        assert shingles(" ".join(same)) == shingles(" ".join(rows[-1][1]))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in simhash.keep_one_of_near(docs).collect()} == kept
