@@ -74,8 +74,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", width: int = 3, words: int = 1, once: bool = False) -> DataFrame:
-    """The columns ``keep`` and ``fp``: ``words`` fingerprints of 64 bits of the whole text, as an array of longs; repeated shingles count ``once`` or each time."""
+def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """The columns ``keep`` and ``fp``: ``words`` fingerprints of 64 bits of the whole text, as an array of longs."""
     read = docs.select(*[F.col(c) for c in keep], text_of(text_column).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,6 @@ def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", wi
             out = []
             for t in batch.column(len(keep)).to_pylist():
                 h = shingle_hashes(t, width)
-                h = np.unique(h) if once else h
                 out.append([_signed(fold_bits(mixed(h, k))) for k in range(words)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.int64()))], [*keep, "fp"])
 
@@ -98,21 +97,21 @@ def _bucket_keys(bits: int, parts: int) -> list[int]:
     return [sum(c) for c in combinations(part, parts - bits)]
 
 
-def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivot: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows are sorted by key. For each key a spanning forest of the links within ``limit`` bits.
 
-    fp: (rows, words). Returns the rows of both ends and the pairs verified.
+    fp: (rows, words). With ``own``, a group number for each row, all links between different groups instead. Returns the rows of both ends and the pairs verified.
     """
     table = np.bitwise_count(fp[:, :1] ^ pivot[None, :]).astype(np.int16)
     for k in range(1, fp.shape[1]):
         table += np.bitwise_count(fp[:, k : k + 1] ^ np.roll(pivot, k)[None, :]).astype(np.int16)
     order = np.lexsort((table[:, 0], key))
     key, fp, table = key[order], fp[order], table[order]
-    n = len(key)
+    n, every = len(key), own is not None
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[begin, n])
     ok = np.repeat(size <= most, size)
-    label = np.arange(n)
+    label = own[order] if every else np.arange(n)
     group = np.repeat(np.arange(len(begin)), size)
     a_out, b_out, verified, shift, merged = [], [], 0, 1, False
     i = np.flatnonzero(ok)
@@ -135,7 +134,10 @@ def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivo
             verified += len(a)
             real = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= limit
             a, b = a[real], b[real]
-            while len(a):
+            if every and len(a):
+                a_out.append(order[a])
+                b_out.append(order[b])
+            while len(a) and not every:
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
                 if not len(a):
@@ -157,36 +159,38 @@ def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivo
     return join(a_out), join(b_out), verified
 
 
-def bucket_links(keyed: DataFrame, limit: int, most: int = BUCKET_LIMIT) -> DataFrame:
+def bucket_links(keyed: DataFrame, limit: int, most: int = BUCKET_LIMIT, group: bool = False) -> DataFrame:
     """(a, b): links within ``limit`` bits among rows (key long, id long, fp array<long>) of one key.
 
     A key's rows are sorted next to each other and read in a stream. Only links
     that join two groups are given out, so a dense bucket yields one row less
     than it has members. Buckets of over ``most`` rows are left to the caller.
+    With ``group`` the rows have a fourth column, a long, and all links between
+    rows of different groups are given out.
     """
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     pivot = pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def solve(key: np.ndarray, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b, _ = _spanning_links(key, fp, limit, most, pivot)
+        def solve(key: np.ndarray, own: np.ndarray, fp: np.ndarray, *groups: np.ndarray) -> pa.RecordBatch:
+            a, b, _ = _spanning_links(key, fp, limit, most, pivot, *groups)
             return pa.RecordBatch.from_arrays([pa.array(own[a], pa.int64()), pa.array(own[b], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            key, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            key, own, *groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in ((0, 1, 3) if group else (0, 1)))
             if not len(key):
                 continue
             lists = batch.column(2)
             fp = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
-            held.append((key, own, fp))
+            held.append((key, own, fp, *groups))
             if held[0][0][0] == key[-1]:
                 continue  # one key so far
-            key, own, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            yield solve(key[:cut], own[:cut], fp[:cut])
-            held = [(key[cut:], own[cut:], fp[cut:])]
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], key[-1]))  # the last key may go on
+            yield solve(*(x[:cut] for x in rows))
+            held = [tuple(x[cut:] for x in rows)]
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -245,31 +249,64 @@ def simhash_groups(
     )
 
 
-def band_plan(rows: int, similarity: float, recall: float = 0.98) -> tuple[int, int, int, int]:
-    """(bits of a band, bands, words of a fingerprint, most differing bits) for a similarity of shingle sets.
+#: Bands of minimum hashes and hashes in a band: sets at 0.8 share a band with probability 1 - (1 - 0.8^4)^16 = 0.9998.
+BANDS, DEPTH = 16, 4
+#: Words of a fingerprint, and the most of its 256 bits that may differ: five deviations above the mean at 0.8 for the
+#: smallest sets (4 of 5 shingles, where a bit differs with probability 3/16).
+PRINT_WORDS, PRINT_LIMIT = 4, 80
+_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    A similarity s is a cosine of about 2s / (1 + s), so a bit differs with
-    probability p = arccos(2s / (1 + s)) / pi. Bands grow by a bit with each
-    doubling of the rows, so buckets of unrelated texts stay small, and there are
-    as many as a pair at s needs to share one with probability ``recall``. The
-    limit on differing bits lies two deviations above the mean at s.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = max(14, int(np.ceil(np.log2(max(rows, 1) + 1))) - 4)
-    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - p) ** bits)))
-    words = -(-bits * bands // 64)
-    total = 64 * words
-    return bits, bands, words, int(total * p + 2 * np.sqrt(total * p * (1 - p)))
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: DEPTH minima of the hashes under random odd factors. The same plan for any number of rows."""
+    with np.errstate(over="ignore"):
+        low = np.array([(hashes * f).min() for f in _FACTORS]).reshape(BANDS, DEPTH)
+    return np.array([xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(BANDS)], np.uint64)
+
+
+def sketches(read: DataFrame, width: int) -> DataFrame:
+    """(rid, doc_id, same, fp, keys) of rows (rid, doc_id, text): digest, fingerprint and band keys of the shingle set; null without words."""
+    id_type = read.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fp, keys = [], [], []
+            for t in batch.column(2).to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                some = len(h) > 0
+                same.append(xxhash.xxh3_128_digest(h.tobytes()) if some else None)
+                fp.append([_signed(fold_bits(mixed(h, k))) for k in range(PRINT_WORDS)] if some else None)
+                keys.append(band_keys(h).view(np.int64) if some else None)
+            longs = pa.list_(pa.int64())
+            arrays = [pa.array(same, pa.binary()), pa.array(fp, longs), pa.array(keys, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["rid", "doc_id", "same", "fp", "keys"])
+
+    return read.mapInArrow(run, f"rid long, doc_id {id_type}, same binary, fp array<long>, keys array<long>")
+
+
+def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows (rid, text) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "s"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, xe), (y, ye) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in batch.columns[2:])
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = x[xe[i] : xe[i + 1]], y[ye[i] : ye[i + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _band(k: int, bits: int):
-    """Key of band k: ``bits`` bits of the fingerprint from bit k * bits on, which may lie in two words."""
-    word, offset = divmod(k * bits, 64)
-    mask = F.lit((1 << bits) - 1)
-    value = F.shiftrightunsigned(F.get("fp", F.lit(word)), offset)
-    if offset + bits > 64:
-        value = value.bitwiseOR(F.shiftleft(F.get("fp", F.lit(word + 1)), 64 - offset))
-    return F.xxhash64(F.lit(k), value.bitwiseAND(mask))
+    sets = written(read.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(shingle, "rid long, s array<long>"), "simhash-sets")
+    x, y = sets.select(F.col("rid").alias("a"), F.col("s").alias("x")), sets.select(F.col("rid").alias("b"), F.col("s").alias("y"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "simhash-links")
 
 
 def near_duplicate_groups(
@@ -277,22 +314,27 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(rid, doc_id, group): rows whose shingles are similar share a group, the smallest row number in it.
 
-    Texts meet if a band of their fingerprints is equal, pass the pivot tables
-    and are linked if no more bits differ than the plan allows. A shingle counts
-    once however often a text repeats it, as in the similarity of sets. Equal
-    fingerprints are one row before that. Texts without words form no link. rid
-    numbers the input rows.
+    Texts meet if a band of minimum hashes is equal and are candidates if they
+    pass the pivot tables and the limit on differing bits of their fingerprints;
+    both are fixed, whatever the number of rows. A link needs an exact Jaccard
+    similarity of ``similarity`` between the sets of shingles: first for a
+    spanning forest of each band's candidates, then for every candidate pair
+    whose groups are still apart. Equal sets are one row before that. Texts
+    without words form no link. rid numbers the input rows.
     """
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    bits, bands, words, limit = band_plan(docs.count(), similarity)
-    table = written(fingerprints(read, ["rid", "doc_id"], "text", width, words, once=True), "simhash")
-    distinct = written(
-        table.filter(F.exists("fp", lambda x: x != 0)).groupBy("fp").agg(F.min("rid").alias("low")), "simhash-distinct"
-    )
-    keyed = distinct.select(F.explode(F.array(*[_band(k, bits) for k in range(bands)])).alias("key"), F.col("low").alias("id"), "fp")
-    label = components(bucket_links(keyed, limit, 1 << 40))
-    named = distinct.join(label.withColumnRenamed("node", "low"), "low", "left").select("fp", F.coalesce("label", "low").alias("group"))
-    return table.join(named, "fp", "left").select("rid", "doc_id", F.coalesce("group", "rid").alias("group"))
+    docs = stable(docs)
+    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    table = written(sketches(read, width), "simhash")
+    first = F.min(F.struct("rid", "fp", "keys")).alias("f")
+    distinct = written(table.filter("same IS NOT NULL").groupBy("same").agg(first).select("same", F.col("f.rid").alias("low"), "f.fp", "f.keys"), "simhash-distinct")
+    keyed = distinct.select(F.explode("keys").alias("key"), F.col("low").alias("id"), "fp")
+    links = verified(bucket_links(keyed, PRINT_LIMIT, 1 << 40), read, width, similarity)
+    label = written(components(links).select(F.col("node").alias("id"), "label"), "simhash-groups")
+    grouped = keyed.join(label, "id", "left").select("key", "id", "fp", F.coalesce("label", "id").alias("own"))
+    more = verified(bucket_links(grouped, PRINT_LIMIT, 1 << 40, group=True), read, width, similarity)
+    label = components(links.unionByName(more))
+    named = distinct.join(label.withColumnRenamed("node", "low"), "low", "left").select("same", F.coalesce("label", "low").alias("group"))
+    return table.join(named, "same", "left").select("rid", "doc_id", F.coalesce("group", "rid").alias("group"))
 
 
 def keep_one_of_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:

@@ -166,3 +166,18 @@ def test_repeated_lines_count_once(spark):
         assert shingles(" ".join(same)) == shingles(" ".join(rows[-1][1]))
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").coalesce(1)
     assert {r.doc_id for r in simhash.keep_one_of_near(docs).collect()} == kept
+
+
+def test_line_is_at_the_similarity(spark):
+    """Pairs of 8 words against 8 and one more (0.8 exactly) and of long texts at 0.81 join, pairs at 0.75 do not."""
+    rng = random.Random(31)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, kept = [], set()
+    for i in range(0, 360, 6):
+        a, b, c = some(8), some(204), some(204)
+        rows += [(i, a), (i + 1, a + some(1)), (i + 2, b), (i + 3, b + some(46)), (i + 4, c), (i + 5, c + some(66))]
+        kept |= {i, i + 2, i + 4, i + 5}
+        like = [len(x & y) / len(x | y) for x, y in ((shingles(" ".join(rows[i + j][1])), shingles(" ".join(rows[i + j + 1][1]))) for j in (0, 2, 4))]
+        assert like[0] == 0.8 and 0.81 < like[1] < 0.82 and 0.75 < like[2] < 0.76
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in simhash.keep_one_of_near(docs).collect()} == kept
