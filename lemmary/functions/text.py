@@ -305,7 +305,7 @@ def bigrams(x: Column) -> Column:
     )
 
 
-def expected_answer(answer: Column | str, expected: Column | str, threshold: float = 0.6, compare_chars: int = 4000) -> Column:
+def expected_answer(answer: Column | str, expected: Column | str, threshold: float = 0.6) -> Column:
     """struct(consistent, similarity, method) of an answer against the expected one.
 
     An expected yes or no is looked for as such; otherwise containment, shared
@@ -331,7 +331,7 @@ def expected_answer(answer: Column | str, expected: Column | str, threshold: flo
     x, y = content(a), content(e)
     jaccard = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
     some = F.size(y) > 0
-    p, q = bigrams(F.substring(e, 1, compare_chars)), bigrams(F.substring(a, 1, compare_chars))
+    p, q = bigrams(e), bigrams(a)
     pairs = F.when((F.size(p) > 0) & (F.size(q) > 0), F.size(F.array_intersect(p, q)) / F.least(F.size(p), F.size(q))).otherwise(F.lit(0.0))
     scored = lambda ok, s, how: F.struct(ok.alias("consistent"), s.alias("similarity"), F.lit(how).alias("method"))
     return (

@@ -159,3 +159,19 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:05:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 3.0)], "t string, kind string, value double")
     batch = incremental.windowed_rates(events.withColumn("t", F.to_timestamp("t")), "t", "kind").collect()
     assert [(r.n, r["mean"]) for r in batch] == [(2, 2.0)]
+
+
+def test_expected_answer_compares_whole_texts(spark):
+    """The matching part of a long answer stands after 4,000 characters."""
+    from pyspark.sql import functions as F
+
+    from lemmary.functions import text
+
+    answer, expected = "0" * 5000 + " mount everest in nepal", "mount everest, nepal"
+    row = spark.createDataFrame([(answer, expected)], "a string, e string").select(text.expected_answer(F.col("a"), F.col("e")).alias("r")).first().r
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    x, y = pairs(expected), pairs(answer)
+    want = len(x & y) / min(len(x), len(y))
+    if row.method == "bigram_overlap":
+        assert abs(row.similarity - want) < 1e-9
+    assert row.method == "bigram_overlap" and row.consistent
