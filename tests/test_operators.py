@@ -175,3 +175,12 @@ def test_expected_answer_compares_whole_texts(spark):
     if row.method == "bigram_overlap":
         assert abs(row.similarity - want) < 1e-9
     assert row.method == "bigram_overlap" and row.consistent
+
+
+def test_top_k_works_off_queries_in_blocks(spark):
+    from lemmary.functions import vectors
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(30)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole, blocks = vectors.top_k(e, e, 3), vectors.top_k(e, e, 3, most_queries=12)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 90
