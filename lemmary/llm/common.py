@@ -13,16 +13,25 @@ SHARED_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests)."""
+    """The shared folder. Only a local session may go without one: it gets a temporary folder (tests)."""
     at = spark.conf.get(SHARED_KEY, None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError(f"set {SHARED_KEY} to a folder that the driver and all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="lemmary-")
         spark.conf.set(SHARED_KEY, at)
     return at.rstrip("/")
 
 
+#: Folders that this process made below the shared folder, and has not removed again.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,19 +46,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Plan nodes that leave rows in the partitions and the order of the stored table.
-_IN_PLACE = {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation"}
+def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Remove the folders written so far but for those that ``keep`` reads; frames that read the others are void. Returns how many."""
+    used = keep.inputFiles() if keep is not None else []
+    conf, removed = spark._jsc.hadoopConfiguration(), 0
+    for path in list(_MADE):
+        folder = f"/{path.rpartition('/')[2]}/"  # the name is unique
+        if not any(folder in f for f in used):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _MADE.remove(path)
+            removed += 1
+    return removed
+
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, or one with underscores in front, that no column of the frame has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-def stable(df: DataFrame) -> DataFrame:
-    """A frame whose rows have the same numbers (monotonically_increasing_id) whichever columns are read.
 
-    A scan with projections and filters has that already. Anything else could
-    deal its rows out anew for other columns, and is written to the shared folder.
+def numbered(df: DataFrame, name: str = "rid") -> tuple[DataFrame, str]:
+    """The frame with a number for each row, written to the shared folder, and the name of the number's column.
+
+    Numbers given in two scans need not agree, as splits depend on the cluster's
+    cores at that time; whoever reads this table twice sees the same rows.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {line.lstrip(" :+-").split(" ", 1)[0].split("(")[0] for line in plan.splitlines() if line.strip()}
-    return df if nodes <= _IN_PLACE else written(df, "rows")
+    rid = fresh_name(df, name)
+    return written(df.withColumn(rid, F.monotonically_increasing_id()), "rows"), rid
+
+
+def long_id(docs: DataFrame, id_column: str) -> Column:
+    """The identifier as a long. Identifiers that are not integers are refused before anything runs."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"column {id_column} is {kind}; this operator orders documents by integer identifiers")
+    return F.col(f"`{id_column}`").cast("long")
 
 
 def text_of(column: str = "text") -> Column:
@@ -92,19 +126,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): each node's smallest reachable node; only nodes with an edge appear.
 
     Alternating large-star and small-star rounds. A round is two aggregations
     with partial sums and two joins, so a hub never gathers in one task; the
     edge list shrinks to a star for each component and is written to the shared
-    folder after each round.
+    folder after each round. Rounds go on until nothing changes, about the
+    square of the logarithm of the longest path at most.
     """
     cur = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         mark = cur.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")
         ).first()
@@ -122,8 +157,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             low.select("u", F.col("m").alias("v"))
         )
         cur = written(small.filter("u <> v").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )

@@ -9,75 +9,55 @@ comparing contents, a hash only decides which task compares them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import stable, text_of, written
+from lemmary.llm.common import fresh_name, numbered, text_of, written
 
 #: Tasks compare blocks within a bucket; the bucket is the upper part of a name.
 BUCKETS = 1 << 20
 RANK_BITS = 40
 
 
-def _blocks(docs: DataFrame, id_column: str, text_column: str, block_chars: int) -> DataFrame:
-    """(rid, doc_id, text_sha256, blocks, pos, block, h): one row for each block of each document."""
-    whole = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("t")
-    )
+def _blocks(docs: DataFrame, id_column: str, text_column: str, block_chars: int, rid: Column, hash_bits: int) -> DataFrame:
+    """(rid, doc_id, text_sha256, blocks, pos, block, h, h2): one row for each block of each document."""
+    whole = docs.select(rid.alias("rid"), F.col(f"`{id_column}`").alias("doc_id"), text_of(text_column).alias("t"))
     cut = F.when(F.length("t") <= block_chars, F.array("t")).otherwise(
         F.regexp_extract_all("t", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     )
+    low = F.lit(-1 if hash_bits == 64 else (1 << hash_bits) - 1)
     return (
         whole.select("rid", "doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), cut.alias("cut"))
         .select("rid", "doc_id", "text_sha256", F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "block"))
-        .withColumn("h", F.xxhash64("block"))
+        .withColumn("h", F.xxhash64("block").bitwiseAND(low))
+        .withColumn("h2", F.xxhash64(F.lit(1), "block").bitwiseAND(low))
     )
 
 
-def _hot_blocks(blocks: DataFrame, hot_share: int) -> dict:
-    """Contents of the blocks that fill over 1/hot_share of all block rows, by hash.
-
-    At most ``hot_share`` blocks of bounded size: a proven bound for the driver
-    and for a broadcast. Counting uses partial sums, so no task sees a hot group.
-    """
-    counts = written(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "block-counts")
-    rows = counts.agg(F.sum("n").alias("n")).first().n or 0
-    often = [r.h for r in counts.filter(F.col("n") > max(50, rows // hot_share)).select("h").collect()]
-    if not often:
-        return {}
-    found = blocks.filter(F.col("h").isin(often)).groupBy("h").agg(F.min("block").alias("block")).collect()
-    return {r.h: r.block for r in found}
+def _name_blocks(blocks: DataFrame) -> DataFrame:
+    """(h, h2, block, name): an integer for each distinct block, by sorting. Copies are one row before the shuffle."""
+    distinct = blocks.select("h", "h2", "block").distinct().withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("block")).cast("long")
+    return distinct.select("h", "h2", "block", (F.shiftleft(F.col("bucket").cast("long"), RANK_BITS) + rank).alias("name"))
 
 
 def identities(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4096, hot_share: int = 500
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4096, rid: Column | None = None, hash_bits: int = 64
 ) -> DataFrame:
     """(rid, doc_id, text_sha256, long, name): equal (long, name) exactly for identical texts.
 
     ``rid`` numbers the input rows, so repeated rows and null ids stay apart.
-    ``long`` says whether the text took more than one block.
+    ``long`` says whether the text took more than one block. Names go back to
+    the blocks by two hashes; if any two blocks share both, by their contents.
     """
-    blocks = _blocks(docs, id_column, text_column, block_chars)
-    spark = docs.sparkSession
-    hot = _hot_blocks(blocks, hot_share)
-    if hot:
-        table = spark.createDataFrame(
-            [(h, b, -1 - i) for i, (h, b) in enumerate(sorted(hot.items()))], "h long, hot_block string, hot_name long"
-        )
-        blocks = blocks.join(F.broadcast(table), "h", "left").withColumn(
-            "hot_name", F.when(F.col("block") == F.col("hot_block"), F.col("hot_name"))
-        )
-    else:
-        blocks = blocks.withColumn("hot_name", F.lit(None).cast("long"))
-    is_hot = F.col("hot_name").isNotNull()
-    dealt = blocks.select(
-        "rid", "doc_id", "text_sha256", "blocks", "pos", "hot_name",
-        F.when(is_hot, F.pmod(F.xxhash64("rid", "pos"), F.lit(BUCKETS))).otherwise(F.pmod("h", F.lit(BUCKETS))).alias("bucket"),
-        F.when(~is_hot, F.col("block")).alias("block"),
-    )
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("block")).cast("long")
-    name = F.coalesce("hot_name", F.shiftleft(F.col("bucket").cast("long"), RANK_BITS) + rank)
-    named = written(dealt.select("rid", "doc_id", "text_sha256", "blocks", "pos", name.alias("name")), "block-names")
+    blocks = _blocks(docs, id_column, text_column, block_chars, F.monotonically_increasing_id() if rid is None else rid, hash_bits)
+    names = written(_name_blocks(blocks), "block-names")
+    twins = names.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    key = ["h", "h2", "block"] if twins else ["h", "h2"]
+    # Read from tables, both sides of the join are plain exchanges: a frequent block's partition can be split.
+    places = written(blocks.select("rid", "doc_id", "text_sha256", "blocks", "pos", *key), "block-places")
+    joined = places.join(names.select(*key, "name"), key)
+    named = written(joined.select("rid", "doc_id", "text_sha256", "blocks", "pos", "name"), "named-blocks")
 
     most = named.agg(F.max("blocks").alias("m")).first().m or 0
     one = named.filter("blocks = 1").select("rid", "doc_id", "text_sha256", F.lit(False).alias("long"), "name")
@@ -106,22 +86,24 @@ def _pair_names(cur: DataFrame) -> DataFrame:
     return written(pairs.join(names, ["a", "b"]).select("rid", "pos", "name"), "pair-names")
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4096) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4096, rid: Column | None = None
+) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, rid.
 
     Of identical texts the row with the largest id stays; among repeated rows of
     that id the first row read. A null text is the empty text. A null id sorts
     below any other; a group of null ids has keep_id null and keeps one row. An
     empty table gives an empty result. Other columns of the input are ignored.
+    ``rid`` is a column that numbers the rows, or None to number them here.
     """
-    ids = identities(docs, id_column, text_column, block_chars)
+    ids = identities(docs, id_column, text_column, block_chars, rid)
     groups = (
         ids.groupBy("long", "name")
         .agg(F.max(F.struct("doc_id", (-F.col("rid")).alias("r"))).alias("k"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
         .select("long", "name", F.col("k.doc_id").alias("keep_id"), (-F.col("k.r")).alias("keep_rid"), "group_size")
     )
-    # Read from a table, both sides of the join are plain exchanges: a large group's partition can be split.
     groups = written(groups, "copy-groups")
     alone = F.col("group_size").isNull()
     return ids.join(groups, ["long", "name"], "left").select(
@@ -136,7 +118,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns."""
-    docs = stable(docs)
-    dropped = exact_dedup(docs, id_column, text_column).filter(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return rows.join(dropped, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, rid = numbered(docs)
+    gone = fresh_name(rows, "gone")
+    dropped = exact_dedup(rows, id_column, text_column, rid=F.col(rid)).filter(~F.col("kept")).select(F.col("rid").alias(gone))
+    return rows.join(dropped, F.col(rid) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

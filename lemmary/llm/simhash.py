@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import components, stable, text_of, written
+from lemmary.llm.common import components, fresh_name, numbered, text_of, written
 
 PIVOTS = 24
 SEED = 42
@@ -197,6 +197,19 @@ def bucket_links(keyed: DataFrame, limit: int, most: int = BUCKET_LIMIT, group:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def parted(keyed: DataFrame, most: int = BUCKET_LIMIT) -> DataFrame:
+    """The rows (key, id, .., n) under keys of at most ``most`` rows, n being a key's rows.
+
+    The rows of a larger key are dealt to blocks of half that size and meet in a
+    key for each two blocks: every pair still meets, in a task of bounded size.
+    """
+    blocks = F.when(F.col("n") <= most, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / most)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long")), lambda j: F.xxhash64("key", F.least("own", j), F.greatest("own", j)))
+    dealt = keyed.withColumn("blocks", blocks).withColumn("own", own).withColumn("meet", F.when(F.col("blocks") == 1, F.array("key")).otherwise(meet))
+    return dealt.select(F.explode("meet").alias("key"), *[c for c in keyed.columns if c not in ("key", "n")])
+
+
 def links(distinct: DataFrame, bits: int = 2, parts: int = 4, most: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): enough links among distinct 64-bit fingerprints (column fp long) to connect all that lie within ``bits``.
 
@@ -210,13 +223,15 @@ def links(distinct: DataFrame, bits: int = 2, parts: int = 4, most: int = BUCKET
     keyed = written(
         distinct.select("fp", key.alias("k")).select(F.xxhash64("k.m", "k.v").alias("key"), F.col("fp").alias("id")), "simhash-keys"
     )
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = bucket_links(keyed.select("key", "id", F.array("id").alias("fp")), bits, most)
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = written(counts.filter(F.col("n") > most).select("key"), "simhash-hot")
-    if hot.limit(1).count() == 0:
-        return found
-    if bits != 2:
+    some = hot.limit(1).count() > 0
+    if some and bits != 2:
         raise ValueError("buckets beyond the limit are exact for two bits only")
+    few = keyed.join(hot, "key", "left_anti") if some else keyed  # no task holds a hot key's rows
+    found = bucket_links(few.select("key", "id", F.array("id").alias("fp")), bits)
+    if not some:
+        return found
     dense = keyed.join(hot, "key", "left_semi").select("id").distinct()
     flips = F.expr("explode(concat(array(id), transform(sequence(0, 63), i -> id ^ shiftleft(1L, i))))")
     near = dense.select("id", flips.alias("v"))
@@ -310,7 +325,7 @@ def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, rid: str | None = None
 ) -> DataFrame:
     """(rid, doc_id, group): rows whose shingles are similar share a group, the smallest row number in it.
 
@@ -320,15 +335,20 @@ def near_duplicate_groups(
     similarity of ``similarity`` between the sets of shingles: first for a
     spanning forest of each band's candidates, then for every candidate pair
     whose groups are still apart. Equal sets are one row before that. Texts
-    without words form no link. rid numbers the input rows.
+    without words form no link. ``rid`` names a column of a stored table that
+    numbers its rows; without it the rows are numbered and stored here.
     """
-    docs = stable(docs)
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    if rid is None:
+        docs, rid = numbered(docs)
+    read = docs.select(F.col(f"`{rid}`").alias("rid"), F.col(f"`{id_column}`").alias("doc_id"), text_of(text_column).alias("text"))
     table = written(sketches(read, width), "simhash")
     first = F.min(F.struct("rid", "fp", "keys")).alias("f")
     distinct = written(table.filter("same IS NOT NULL").groupBy("same").agg(first).select("same", F.col("f.rid").alias("low"), "f.fp", "f.keys"), "simhash-distinct")
-    keyed = distinct.select(F.explode("keys").alias("key"), F.col("low").alias("id"), "fp")
-    links = verified(bucket_links(keyed, PRINT_LIMIT, 1 << 40), read, width, similarity)
+    bands = distinct.select(F.explode("keys").alias("key"), F.col("low").alias("id"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bands = written(bands.join(shared, "key"), "simhash-bands")  # keys of one row alone go before fingerprints travel
+    keyed = parted(bands.join(distinct.select(F.col("low").alias("id"), "fp"), "id"))
+    links = verified(bucket_links(keyed.select("key", "id", "fp"), PRINT_LIMIT, 1 << 40), read, width, similarity)
     label = written(components(links).select(F.col("node").alias("id"), "label"), "simhash-groups")
     grouped = keyed.join(label, "id", "left").select("key", "id", "fp", F.coalesce("label", "id").alias("own"))
     more = verified(bucket_links(grouped, PRINT_LIMIT, 1 << 40, group=True), read, width, similarity)
@@ -339,9 +359,7 @@ def near_duplicate_groups(
 
 def keep_one_of_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The input rows with one row of each near-duplicate group, the first read; all columns stay."""
-    docs = stable(docs)
-    dropped = near_duplicate_groups(docs, id_column, text_column, **how).filter("rid <> group").select(F.col("rid").alias("__rid"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return rows.join(dropped, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    rows, rid = numbered(docs)
+    gone = fresh_name(rows, "gone")
+    dropped = near_duplicate_groups(rows, id_column, text_column, rid=rid, **how).filter("rid <> group").select(F.col("rid").alias(gone))
+    return rows.join(dropped, F.col(rid) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -95,31 +96,118 @@ def test_score_is_batch_free():
 
 
 def brute_chain(x, y, k):
-    best = 0
     score = []
     for i in range(len(x)):
         s = k
         for j in range(i):
             if x[j] < x[i] and y[j] < y[i]:
-                gain = score[j] - chaining.GAP_COST * (x[i] - x[j] + y[i] - y[j])
-                if gain > 0:
-                    s = max(s, gain + min(k, x[i] - x[j], y[i] - y[j]))
+                s = max(s, score[j] - chaining.GAP_COST * (x[i] - x[j] + y[i] - y[j]) + min(k, x[i] - x[j], y[i] - y[j]))
         score.append(s)
-        best = max(best, s)
-    return best
+    return max(score)
 
 
-def test_chain_is_near_the_best():
+def chain_score(x, y, c, k):
+    steps = [(x[b] - x[a], y[b] - y[a]) for a, b in zip(c, c[1:], strict=False)]
+    return k + sum(min(k, dx, dy) - chaining.GAP_COST * (dx + dy) for dx, dy in steps)
+
+
+def test_chain_is_the_best():
     rng = random.Random(6)
-    for _ in range(60):
-        points = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(2, 25))}, key=lambda p: (p[0], -p[1]))
+    for n in range(800):
+        wide = rng.choice([12, 30, 60, 200])
+        points = sorted({(rng.randrange(wide), rng.randrange(wide)) for _ in range(rng.randrange(2, 40))}, key=lambda p: (p[0], -p[1]))
+        if n % 3 == 0:  # runs along diagonals, as repeats give them
+            points = sorted({(a + i, b + i) for a, b in points for i in range(rng.randrange(1, 6))}, key=lambda p: (p[0], -p[1]))
         x, y = [p[0] for p in points], [p[1] for p in points]
-        found = chaining.chains(x, y, 5, least=1)
-        flat = sorted(i for c in found for i in c)
-        assert flat == list(range(len(x)))
-        for c in found:
-            assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
-        assert brute_chain(x, y, 5) >= 5
+        for k in (2, 4, 5):
+            found = chaining.chains(x, y, k, least=1)
+            flat = sorted(i for c in found for i in c)
+            assert flat == list(range(len(x)))
+            for c in found:
+                assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+            assert math.isclose(chain_score(x, y, found[0], k), brute_chain(x, y, k))
+
+
+def test_changed_passages_are_found(spark):
+    """Pairs of texts that share a passage with changed words: of 60 words at 0.85 or 0.9, of 80 and 120 at 0.8."""
+    rng = random.Random(14)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows, kinds = [], []
+    for kind, (n, changed) in enumerate([(60, 6), (60, 9), (80, 8), (80, 16), (120, 24)]):
+        for _ in range(40):
+            p = some(n)
+            q = list(p)
+            for j in rng.sample(range(1, n - 1), changed):
+                q[j] = some(1)[0]
+            rows += [" ".join(some(90) + p + some(40)), " ".join(some(30) + q + some(100))]
+            kinds.append(kind)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {(r.doc_id // 2, r.other_id // 2) for r in chaining.repeated_passages(docs).collect()}
+    assert all(a == b for a, b in out)
+    for kind in range(5):
+        own = [i for i, k in enumerate(kinds) if k == kind]
+        assert sum((i, i) in out for i in own) >= 0.9 * len(own), kind
+
+
+def brute_shared(texts, n):
+    """Pairs of different texts that share a run of n words, by comparing every run."""
+    runs = {}
+    for d, t in texts:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            runs.setdefault(" ".join(w[i : i + n]), set()).add(d)
+    return {frozenset(p) for ids in runs.values() for p in [sorted(ids)] if len(p) > 1 for p in itertools.combinations(p, 2)}
+
+
+def test_shared_runs_by_brute_force(spark):
+    """Texts of pieces from a small stock: whoever shares 50 words is reported and connected to all that share them; nobody else is."""
+    rng = random.Random(23)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    stock = [some(n) for n in (72, 72, 60, 55, 30, 30, 25, 12) for _ in range(2)]
+    stock += [stock[0][:34], stock[0][38:], stock[0][19:53], stock[1][:30], stock[1][30:60], stock[2][5:40]]
+    texts = []
+    for d in range(120):
+        words = some(rng.randrange(0, 12))
+        for piece in rng.sample(stock, 2):
+            words += piece + some(rng.randrange(20, 40))
+        texts.append((d, " ".join(words)))
+    out = chaining.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    want = brute_shared(texts, 50)
+    touched = {d for p in want for d in p}
+    exact = [r for r in out if r.identity == 1]
+    assert {r.doc_id for r in exact} | {r.other_id for r in exact} >= touched
+    joined = union((r.doc_id, r.other_id) for r in out)
+    assert all(joined(a) == joined(b) for a, b in want)
+    words = dict(texts)
+    for r in out:  # what is reported is there
+        a, b = words[r.doc_id].split()[r.start : r.end], words[r.other_id].split()[r.other_start : r.other_end]
+        assert max(len(a), len(b)) == r.words >= 50 and r.identity >= 0.8
+        if r.identity == 1:
+            assert a == b
+
+
+def union(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return find
+
+
+def test_fragments_do_not_hide_a_pair(spark):
+    """Two texts share 72 words; five earlier texts each hold 34 of them."""
+    rng = random.Random(3)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    p = some(72)
+    texts = [some(60) + p[a : a + 34] + some(60) for a in (0, 10, 19, 28, 38)] + [some(30) + p + some(50), some(80) + p + some(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    out = [(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.identity) for r in chaining.repeated_passages(docs).collect()]
+    assert out == [(6, 5, 80, 152, 30, 1.0)]
 
 
 def test_repeated_passages(spark, odd, empty):
