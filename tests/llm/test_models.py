@@ -32,19 +32,84 @@ def test_language_model_base(odd, odd_rows, empty):
     assert all(r.base_score == 0 and r.score == 0 and r.n_known == 0 for r in blank)
 
 
-def test_language_model_is_a_distribution(spark):
-    """Over all known words and the unknown ones of each class, probabilities after any class sum to one."""
+def plain_model(model, texts, weight=0.98, pull=20.0):
+    """P(word | word before) from the model's classes alone: every count is made again here."""
+    index = brown_lm.TypeIndex(model.words, model.endings)
+    class_of = lambda w: int(model.classes[index[w]])
+    counts, moves = Counter(), Counter()
+    for t in texts:
+        own = [b"", *brown_lm.words_of(t), b""]
+        counts.update(own[1:])
+        moves.update(zip(map(class_of, own), map(class_of, own[1:])))
+    n, v, size = sum(counts.values()), len(counts), model.log_factor.shape[0]
+    class_n, class_v, out_of = Counter(), Counter(), Counter()
+    for w, k in counts.items():
+        class_n[class_of(w)] += k
+        class_v[class_of(w)] += 1
+    for (a, _), k in moves.items():
+        out_of[a] += k
+    unseen = {int(c) for c in model.classes[1 + len(model.words) :]}
+
+    def p(before, w):
+        a, c = class_of(before), class_of(w)
+        step = (moves[a, c] + pull * (class_n[c] + 1) / (n + size)) / (out_of[a] + pull)
+        return (counts[w] + 1) * (weight * step / (class_n[c] + class_v[c] + (c in unseen)) + (1 - weight) / (n + v + len(unseen)))
+
+    return p, counts, unseen
+
+
+def lm_texts(rng, n):
+    stems = ["red", "blue", "car", "house", "walk", "talk", "bright"]
+    word = lambda: rng.choice(stems) + rng.choice(["", "s", "ing", "ed", "x" * 70, str(rng.randrange(9))])
+    return [" ".join(word() for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+def test_score_is_that_of_a_plain_model(spark):
+    """With words clustered on the driver, words moved in parallel, and words beyond the head."""
     rng = random.Random(3)
-    texts = [" ".join(rng.choice(["red", "blue"]) + " " + rng.choice(["car", "house"]) for _ in range(20)) for _ in range(30)]
-    model = brown_lm.train(spark.createDataFrame([(t,) for t in texts], "t string"), classes=4)
+    texts, fresh = lm_texts(rng, 150), lm_texts(rng, 20) + ["never seen " + "z" * 90, "", "x" * 70]
+    model = brown_lm.train(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), classes=5, head_words=30, first_words=8)
+    assert 8 < len(model.words) <= 30
+    p, counts, _ = plain_model(model, texts)
+    assert len(counts) > len(model.words) + 1
+    rows = {r.doc_id: r for r in brown_lm.score(spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(fresh):
+        own = [b"", *brown_lm.words_of(t), b""]
+        assert math.isclose(rows[i].score, sum(math.log10(p(a, b)) for a, b in zip(own, own[1:], strict=False)), rel_tol=1e-9)
+        assert rows[i].n_known == sum(counts[w] > 0 for w in own[1:])
+
+
+def test_language_model_is_a_distribution(spark):
+    """After any word, the probabilities of all known words and of an unknown one of each class that has any sum to one."""
+    rng = random.Random(5)
+    texts = lm_texts(rng, 120)
+    model = brown_lm.train(spark.createDataFrame([(t,) for t in texts], "t string"), classes=6, head_words=25, first_words=6)
     index = brown_lm.TypeIndex(model.words, model.endings)
-    vocabulary = {bytes(r.word): r.n for r in model.vocabulary.collect()}
-    classes = model.classes
-    for before in sorted(set(classes.tolist())):
-        known = sum((n + 1) * 10 ** model.log_factor[before, classes[index[w]]] for w, n in vocabulary.items())
-        floor = 0.02 / (model.tokens + model.types + 1)
-        unknown = sum(10 ** model.log_factor[before, c] - floor for c in range(model.log_factor.shape[1]))
-        assert math.isclose(known + unknown + floor, 1, rel_tol=1e-9)
+    classes = model.classes.tolist()
+    unknown = set(classes[1 + len(model.words) :])
+    known = [(r.n, classes[index[bytes(r.word)]]) for r in model.vocabulary.collect()]
+    for before in range(model.log_factor.shape[0]):
+        p = 10 ** model.log_factor[before]
+        assert math.isclose(sum((n + 1) * p[c] for n, c in known) + sum(p[c] for c in unknown), 1, rel_tol=1e-9)
+
+
+def test_words_move_to_the_best_class():
+    """The move of one word agrees with the likelihood of class bigrams, computed from scratch."""
+    rng = np.random.default_rng(4)
+    pairs = rng.poisson(2.0, (12, 12)).astype(float)
+    np.fill_diagonal(pairs, 0)
+    label = np.array([0, 1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 2])
+
+    def likelihood(label):
+        m = np.array([[pairs[label == a][:, label == b].sum() for b in range(4)] for a in range(4)])
+        x = brown_lm._xlogx
+        return x(m).sum() - x(m.sum(1)).sum() - x(m.sum(0)).sum()
+
+    one = np.eye(4)[label]
+    for w in range(1, 12):
+        others = np.array([likelihood(np.where(np.arange(12) == w, c, label)) for c in range(1, 4)])
+        got = brown_lm.best_class(one.T @ pairs @ one, int(label[w]), pairs[:, w] @ one, pairs[w] @ one)
+        assert math.isclose(others[got - 1], others.max())
 
 
 def test_language_model_learns_order(spark):
