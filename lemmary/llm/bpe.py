@@ -10,7 +10,6 @@ the same merges.
 from __future__ import annotations
 
 import heapq
-import json
 from array import array
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.chunks import SPLIT_KEPT, ChunkEncoder, byte_names, rounds
+from lemmary.llm.chunks import SPLIT_KEPT, ChunkEncoder, byte_names, check_split, rounds
 from lemmary.llm.common import text_of
 
 LONG_WORD = 256
@@ -34,8 +33,7 @@ class RankArrayBPE:
     """Encoder and decoder of a vocabulary file with a vocabulary and ordered merges."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = check_split(path, "kept")
         vocab = spec["model"]["vocab"]
         names = byte_names()
         value = {c: b for b, c in enumerate(names)}

@@ -8,6 +8,7 @@ makes a cut unsafe, the whole text is encoded at once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -135,6 +136,38 @@ def byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: What a vocabulary file must say of its split for the code here to stand for it.
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+SPLITS = {
+    "kept": (None, BYTES | {"use_regex": True}),
+    "dropped": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT_DROPPED}, "behavior": "Removed", "invert": True}, BYTES | {"use_regex": False}]},
+    ),
+}
+
+
+def unassigned(chunk: str) -> bool:
+    """Whether a code point has no meaning yet: tables of different age disagree on those."""
+    return not chunk.isascii() and "Cn" in map(unicodedata.category, chunk)
+
+
+def check_split(path: str, spaces: str) -> dict:
+    """The vocabulary file's contents, if it normalizes and splits text as ``spaces`` says; an error otherwise."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if (spec["normalizer"], spec["pre_tokenizer"]) != SPLITS[spaces]:
+        raise ValueError(f"{path} does not split text as '{spaces}' expects: {spec['normalizer']}, {spec['pre_tokenizer']}")
+    return spec
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]])
+
+
 class LibraryWords:
     """Encodes chunks with the tokenizers library: its model sees each distinct word once.
 
@@ -147,6 +180,7 @@ class LibraryWords:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_split(path, spaces)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -175,7 +209,7 @@ class LibraryWords:
         return None if "\u03a3" in chunk else unicodedata.normalize("NFC", chunk).lower()
 
     def pieces(self, chunk: str) -> list[str] | None:
-        if "<|" in chunk or len(chunk) > 2000:
+        if "<|" in chunk or len(chunk) > 2000 or unassigned(chunk):
             return None
         text = chunk if self.kept else self.fold(chunk)
         return None if text is None else self.split(text)

@@ -162,8 +162,8 @@ def pack_documents(
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal queue
             windows, queue = pack(queue, tiers, last)
-            rows = []
-            for window, step in zip(windows, step_groups(windows), strict=True):
+            rows, steps = [], step_groups(windows)
+            for window, step in zip(windows, steps, strict=True):
                 at, size = 0, sum(p[2] for p in window)
                 for d, s, n in window:
                     own, ids = docs_now[d]
@@ -171,7 +171,7 @@ def pack_documents(
                     rows.append((own, s, n, zlib.crc32(cut.astype("<u4").tobytes()), len(ids), base | state["sequence"], at, size, base | state["step"] + step, cut))
                     at += n
                 state["sequence"] += 1
-            state["step"] += max((step + 1 for step in step_groups(windows)), default=0)
+            state["step"] += max((step + 1 for step in steps), default=0)
             kept = {p[0] for p in queue}
             for d in [d for d in docs_now if d not in kept]:
                 del docs_now[d]

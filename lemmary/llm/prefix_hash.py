@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.common import shuffle_width, slice_bounds, slice_of, text_of
+from lemmary.llm.common import long_id, shuffle_width, slice_bounds, slice_of, text_of
 
 P = np.uint64((1 << 31) - 1)
 BASES = (911_382_323, 972_663_749)
@@ -166,7 +166,7 @@ def with_next(docs: DataFrame, id_column: str, text_column: str, slices: int | N
     more than its slice and the order is closed to a ring. Null ids come last;
     rows of one id are ordered by their text.
     """
-    read = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("t"))
+    read = docs.select(long_id(docs, id_column).alias("doc_id"), text_of(text_column).alias("t"))
     bounds = slice_bounds(read, "doc_id", slices or 8 * shuffle_width(docs.sparkSession))
     own = slice_of("doc_id", bounds).cast("int")
     heads = {r.slice: r.head for r in read.select(own.alias("slice"), "doc_id").groupBy("slice").agg(F.max("doc_id").alias("head")).collect()}
@@ -194,8 +194,8 @@ def edit_likeness(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     The next document is the one with the next lower id, the first after the
     last; a single row is next to itself. Null texts are empty; null ids come
-    last and rows of one id are ordered by text. An empty table gives an empty
-    result; other columns are ignored.
+    last and rows of one id are ordered by text. Ids that are not integers are
+    refused. An empty table gives an empty result; other columns are ignored.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

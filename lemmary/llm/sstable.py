@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.chunks import library_encoder, rounds
-from lemmary.llm.common import fresh_path, shuffle_width, slice_bounds, slice_of, text_of
+from lemmary.llm.chunks import library_encoder, rounds, vocabulary_size
+from lemmary.llm.common import fresh_path, long_id, shuffle_width, slice_bounds, text_of
 
 MAGIC = b"LEMSST01"
 FOOTER = struct.Struct("<QQQQQQQBB8s")  # index at, filter at, filter bits, documents, tokens, blocks, end, id width, hashes
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
+#: Bytes of text for each shard, about.
+SHARD_BYTES = 64 << 20
 
 
 def _filesystem(path: str):
@@ -191,33 +193,43 @@ class Shard:
 
 def write_shards(
     docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0,
-    id_width: int = 2, shards: int | None = None, folder: str | None = None,
+    id_width: int | None = None, shards: int | None = None, folder: str | None = None, shard_bytes: int = SHARD_BYTES,
 ) -> list[dict]:
     """Encode every whole text, append ``end_id`` and write shards in ascending identifier order.
 
     Returns a row for each shard, in order: path, documents, tokens, start (ids
-    before it); the list is bounded by the number of shards. A null text is
-    empty; null identifiers come first, repeated ones in the order of their ids;
-    an empty table writes no shard. Ids are shuffled once, as bytes.
+    before it); the list is bounded by the number of shards, which follows from
+    the bytes of the texts. A null text is empty; null identifiers come first,
+    repeated ones in the order of their ids; identifiers that are not integers
+    are refused; an empty table writes no shard. Ids take two bytes if the
+    vocabulary allows, else four. Ids are shuffled once, as bytes.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "sst")
-    shards = shards or 4 * shuffle_width(spark)
+    most = max(vocabulary_size(vocabulary) - 1, end_id)
+    id_width = id_width or (2 if most < 1 << 16 else 4)
+    if most >= 1 << 8 * id_width:
+        raise ValueError(f"ids up to {most} do not fit in {id_width} bytes")
     dtype = "<u2" if id_width == 2 else "<u4"
-    read = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("t"))
-    bounds = slice_bounds(read, "doc_id", shards)
+    read = docs.select(long_id(docs, id_column).alias("doc_id"), text_of(text_column).alias("t"))
+    if shards is None:
+        size = read.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
+        shards = max(2 * shuffle_width(spark), -(-size // shard_bytes))
+    bounds = np.array(slice_bounds(read, "doc_id", shards), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary, "kept")
         last = np.array([end_id], dtype).tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            ids = batch.column(0)
+            shard = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "right")
+            shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
             for part in rounds(texts):
                 flat, ends = encoder.encode(texts[part])
                 flat = flat.astype(dtype)
                 values = [flat[a:b].tobytes() + last for a, b in zip(ends, ends[1:], strict=False)]
-                own = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([own, pa.array(values, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[part]), ids.slice(part.start, part.stop - part.start), pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -245,9 +257,8 @@ def write_shards(
             schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]),
         )
 
-    encoded = read.mapInArrow(encode, "doc_id long, ids binary")
     ordered = (
-        encoded.select(slice_of("doc_id", bounds).cast("long").alias("shard"), "doc_id", "ids")
+        read.mapInArrow(encode, "shard long, doc_id long, ids binary")
         .repartition("shard")
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     )
@@ -281,7 +292,8 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
                         rows, size = [], 0
                 yield _batch(rows)
 
-    return table.repartition(min(len(shards), shuffle_width(spark))).mapInArrow(read, schema)
+    tasks = max(min(len(shards), shuffle_width(spark)), len(shards) // 8)  # a few shards in a task
+    return table.repartition(tasks).mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

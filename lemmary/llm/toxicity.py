@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from lemmary.llm.chunks import rounds
 from lemmary.llm.common import fold_of, text_of
@@ -99,6 +100,48 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 PAD = max(WIDTHS) - 1
 
 
+def gradient(model: ToxicityModel, flat: np.ndarray, starts: np.ndarray, y: np.ndarray, hashes: np.ndarray) -> tuple[float, list[np.ndarray], float]:
+    """(logistic loss, its derivatives by tables, filters, bias and output, by the output's bias) over documents of word numbers laid end to end.
+
+    ``hashes`` are the features of each word number; each document ends with padding (number 0).
+    """
+    mask, filters = np.uint64((1 << TABLE_BITS) - 1), model.bias.shape[1]
+    words, ids = np.unique(flat, return_inverse=True)
+    e, own = model.embed(hashes[words]), hashes[words]
+    ends = np.r_[starts[1:], len(flat)]
+    grads = [np.zeros_like(p) for p in (model.tables, *model.filters, model.bias, model.out)]
+    grad_e = np.zeros_like(e)
+    hidden, best = [], []
+    for k, own_taps in enumerate(model.taps(e)):
+        r = own_taps[0][ids].copy()
+        for j in range(1, len(own_taps)):
+            r[:-j] += own_taps[j][ids[j:]]
+        r[flat == 0] = 0
+        arg = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
+        best.append(arg)
+        hidden.append(np.take_along_axis(r, arg, 0) + model.bias[k])
+    z = np.concatenate(hidden, axis=1)
+    h = np.maximum(z, 0)
+    p = _sigmoid(h @ model.out + model.out_bias)
+    loss = -float(np.mean(np.where(y > 0, np.log(p + 1e-30), np.log(1 - p + 1e-30))))
+    d = ((p - y) / len(y)).astype(model.out.dtype)
+    grads[-1] += h.T @ d
+    dz = (d[:, None] * model.out[None, :]) * (z > 0)
+    for k, width in enumerate(WIDTHS):
+        dk = dz[:, k * filters : (k + 1) * filters]
+        grads[1 + len(WIDTHS)][k] += dk.sum(axis=0)
+        dk = dk * (flat[best[k]] != 0)
+        for j in range(width):
+            w = ids[np.minimum(best[k] + j, len(flat) - 1)]  # (documents, filters)
+            grads[1 + k][j] += np.einsum("nfd,nf->df", e[w], dk)
+            np.add.at(grad_e, w, dk[:, :, None] * model.filters[k][j].T[None, :, :])
+    for feature in own.T:
+        some = np.flatnonzero(model.is_known(feature))
+        for t, shift in ((0, 0), (1, TABLE_BITS)):
+            np.add.at(grads[0][t], (feature[some] >> np.uint64(shift)) & mask, grad_e[some])
+    return loss, grads, float(d.sum())
+
+
 def train_model(
     texts: list[str], labels: list[int], dim: int = 8, filters: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.02,
     min_docs: int = 3, decay: float = 1e-4, seed: int = 13,
@@ -131,8 +174,6 @@ def train_model(
     often = (unique[(seen >= min_docs) & (unique != 0)] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
     np.bitwise_or.at(model.known, often >> 3, (1 << (often & 7)).astype(np.uint8))
     model.known[0] &= 0xFE  # padding and absent prefixes are never known
-    mask = (1 << TABLE_BITS) - 1
-    rows = np.stack([(hashes & np.uint64(mask)), (hashes >> np.uint64(TABLE_BITS)) & np.uint64(mask)]).astype(np.int64)
     params = [model.tables, *model.filters, model.bias, model.out]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -144,41 +185,8 @@ def train_model(
             own = order[at : at + batch]
             flat = np.concatenate([np.r_[docs[i], pad] for i in own])
             starts = np.cumsum([0, *[len(docs[i]) + PAD for i in own[:-1]]])
-            words, ids = np.unique(flat, return_inverse=True)
-            e = model.embed(hashes[words])
-            known = model.is_known(hashes[words]).astype(bool)
-            ends = np.r_[starts[1:], len(flat)]
-            grads = [np.zeros_like(p) for p in params]
-            grad_e = np.zeros_like(e)
-            taps = model.taps(e)
-            hidden, best = [], []
-            for k, own_taps in enumerate(taps):
-                r = own_taps[0][ids].copy()
-                for j in range(1, len(own_taps)):
-                    r[:-j] += own_taps[j][ids[j:]]
-                r[flat == 0] = 0
-                arg = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
-                best.append(arg)
-                hidden.append(np.take_along_axis(r, arg, 0) + bias[k])
-            z = np.concatenate(hidden, axis=1)
-            h = np.maximum(z, 0)
-            p = _sigmoid(h @ model.out + model.out_bias)
-            d = ((p - y[own]) / len(own)).astype(np.float32)
-            grads[-1] += h.T @ d
-            model.out_bias -= rate * float(d.sum())
-            dz = (d[:, None] * model.out[None, :]) * (z > 0)
-            for k, width in enumerate(WIDTHS):
-                dk = dz[:, k * filters : (k + 1) * filters]
-                grads[1 + len(WIDTHS)][k] += dk.sum(axis=0)
-                dk = dk * (flat[best[k]] != 0)
-                for j in range(width):
-                    w = ids[np.minimum(best[k] + j, len(flat) - 1)]  # (documents, filters)
-                    grads[1 + k][j] += np.einsum("nfd,nf->df", e[w], dk)
-                    np.add.at(grad_e, w, dk[:, :, None] * model.filters[k][j].T[None, :, :])
-            for j in range(hashes.shape[1]):
-                some = known[:, j]
-                for t in (0, 1):
-                    np.add.at(grads[0][t], rows[t][words[some], j], grad_e[some])
+            loss, grads, d_bias = gradient(model, flat, starts, y[own], hashes)
+            model.out_bias -= rate * d_bias
             step += 1
             for p_, g, m, v in zip(params, grads, first, second, strict=True):
                 if p_ is not model.tables:
@@ -248,17 +256,20 @@ def calibrate(model: ToxicityModel, scores: np.ndarray, labels: np.ndarray, lang
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 1500, negatives: int = 3000, max_chars: int = 60_000,
+    docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 1500, negatives: int = 3000, id_column: str = "doc_id", text_column: str = "text",
+    lang_column: str = "lang",
 ) -> ToxicityModel:
-    """Train on at most ``positives`` + ``negatives`` labelled rows outside fold 0, texts of up to ``max_chars``.
+    """Train on at most ``positives`` + ``negatives`` labelled rows outside fold 0, whole texts of any length.
 
     A quarter of the sample calibrates the thresholds. The sample is the first
     rows by a hash of the id, so it does not depend on partitions. Rows with a
-    null label or id are skipped; of repeated labels of one id the largest counts.
+    null label or id are skipped; of repeated labels of one id the largest counts,
+    of repeated rows of one id the smallest text. Ids are of any type. Without
+    documents, or without labels for them, every score is 0.
     """
     marks = (
-        labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        labels.filter("toxic IS NOT NULL").select(F.col(f"`{id_column}`").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL")
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .filter(fold_of("doc_id", folds) != 0)
     )
     order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
@@ -269,14 +280,14 @@ def fit(
     ]
     if not ids:
         return train_model([], [])
-    spark = docs.sparkSession
-    sample = spark.createDataFrame(ids, "doc_id long, y int")  # bounded by positives + negatives
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    schema = StructType([StructField("id", marks.schema["doc_id"].dataType), StructField("y", IntegerType())])
+    sample = docs.sparkSession.createDataFrame(ids, schema)  # bounded by positives + negatives
+    lang = F.col(f"`{lang_column}`").cast("string") if lang_column in docs.columns else F.lit(None).cast("string")
     rows = (
-        docs.select("doc_id", text_of().alias("t"), lang.alias("lang")).filter(F.length("t") <= max_chars)
-        .join(F.broadcast(sample), "doc_id").select("doc_id", "t", "lang", "y").dropDuplicates(["doc_id"]).collect()
+        docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("t"), lang.alias("lang")).join(F.broadcast(sample), "id")
+        .groupBy("id").agg(F.min(F.struct("t", "lang", "y")).alias("r")).select("id", "r.*").collect()
     )
-    rows.sort(key=lambda r: word_hash(str(r.doc_id)))
+    rows.sort(key=lambda r: (word_hash(str(r.id)), str(r.id)))
     part = len(rows) // 4
     fitted, held = rows[part:], rows[:part]
     model = train_model([r.t for r in fitted], [r.y for r in fitted])
@@ -287,29 +298,30 @@ def fit(
     return model
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input's columns with ``toxicity`` (0 to 1, from the text alone) and ``toxic_by_lang`` (score against the language's threshold).
+def score_documents(
+    docs: DataFrame, model: ToxicityModel, text_column: str = "text", lang_column: str = "lang", score: str = "toxicity", flag: str = "toxic_by_lang"
+) -> DataFrame:
+    """The input's columns with ``score`` (0 to 1, from the text alone) and ``flag`` (score against the language's threshold).
 
     Null and empty texts have the score of a text without words. Rows keep their
-    number; an empty table gives an empty result. A narrow map.
+    number and ids of any type; an empty table gives an empty result. A column of
+    the input named like ``score`` or ``flag`` is replaced. A narrow map.
     """
-    keep = docs.columns
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in keep else F.lit("")
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_column).alias("_text"), lang.alias("_lang"))
+    keep = [c for c in docs.columns if c.lower() not in (score.lower(), flag.lower())]
+    lang = F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("")) if lang_column in keep else F.lit("")
+    own = [F.col(f"`{c}`") for c in keep]
+    read = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(0)).alias("row"), text_of(text_column).alias("text"), lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(1).to_pylist()
             scores = [scorer.score(texts[part]) for part in rounds(texts, 1_000_000)]
             s = np.concatenate(scores) if scores else np.zeros(0)
-            cut = [model.thresholds.get(x, model.threshold) for x in batch.column(len(keep) + 1).to_pylist()]
+            cut = [model.thresholds.get(x, model.threshold) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(s, pa.float64()), pa.array(s >= np.array(cut, float), pa.bool_())],
-                names=[*keep, "toxicity", "toxic_by_lang"],
+                [batch.column(0), pa.array(s, pa.float64()), pa.array(s >= np.array(cut, float), pa.bool_())], names=["row", "score", "flag"]
             )
 
-    from pyspark.sql.types import BooleanType, DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("toxicity", DoubleType()).add("toxic_by_lang", BooleanType())
-    return read.mapInArrow(run, schema)
+    scored = read.mapInArrow(run, StructType([read.schema["row"]]).add("score", DoubleType()).add("flag", BooleanType()))
+    return scored.select(*[F.col("row")[c].alias(c) for c in keep], F.col("score").alias(score), F.col("flag").alias(flag))

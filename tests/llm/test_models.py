@@ -160,6 +160,80 @@ def test_score_is_batch_free():
     assert np.allclose(toxicity.Scorer(model).score(texts), one, atol=1e-6)
 
 
+def plain_score(model, text):
+    """The classifier's formula word by word."""
+    words = toxicity.WORD.findall(text.lower())
+    table = [sum((model.tables[0][h % 2**15] + model.tables[1][(h >> 15) % 2**15] for h in toxicity.word_features(w) if h and model.is_known(np.array([h], np.uint64))[0]), np.zeros(model.tables.shape[2])) for w in words]
+    table += [np.zeros(model.tables.shape[2])] * toxicity.PAD
+    z = model.out_bias
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(model.bias.shape[1]):
+            top = max([0.0, *[sum(float(table[i + j] @ model.filters[k][j][:, f]) for j in range(width)) for i in range(len(words))]])
+            z += max(0.0, top + model.bias[k, f]) * model.out[k * model.bias.shape[1] + f]
+    return 1 / (1 + math.exp(-z))
+
+
+def toy_model(rng, epochs=3):
+    texts = [toy(rng, rng.randrange(1, 40), i % 3 == 0) for i in range(90)]
+    return texts, toxicity.train_model(texts, [int(i % 3 == 0) for i in range(90)], epochs=epochs)
+
+
+def test_scorer_is_the_formula():
+    texts, model = toy_model(random.Random(8))
+    texts += ["", "unseen words only", "w1"]
+    got = toxicity.Scorer(model).score(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-5)
+    assert len(set(np.round(got, 3))) > 10
+
+
+def test_gradient_is_that_of_the_loss():
+    """Derivatives by central differences, in double precision."""
+    texts, model = toy_model(random.Random(9), epochs=2)
+    model.tables, model.bias, model.out = (x.astype(np.float64) for x in (model.tables, model.bias, model.out))
+    model.filters = [w.astype(np.float64) for w in model.filters]
+    model.embed = lambda hashes: sum(
+        model.is_known(own)[:, None] * (model.tables[0][own & np.uint64(2**15 - 1)] + model.tables[1][(own >> np.uint64(15)) & np.uint64(2**15 - 1)]) for own in hashes.T
+    )
+    model.taps = lambda e: [[e @ w[j] for j in range(len(w))] for w in model.filters]
+    index = {"": 0}
+    docs = [[index.setdefault(w, len(index)) for w in t.split()] for t in texts[:6]]
+    hashes = toxicity.features_of(list(index))
+    flat = np.concatenate([[*d, *[0] * toxicity.PAD] for d in docs]).astype(np.int64)
+    starts = np.cumsum([0, *[len(d) + toxicity.PAD for d in docs[:-1]]])
+    y = np.array([1, 0, 0, 1, 0, 0], float)
+    _, grads, d_bias = toxicity.gradient(model, flat, starts, y, hashes)
+    loss = lambda: toxicity.gradient(model, flat, starts, y, hashes)[0]
+    rng = np.random.default_rng(1)
+    for p, g in zip((model.tables, *model.filters, model.bias, model.out), grads, strict=True):
+        some = np.argwhere(np.abs(g) > 1e-7)
+        for at in map(tuple, some[rng.choice(len(some), min(12, len(some)), replace=False)]):
+            keep, sides = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = keep + step
+                sides.append(loss())
+            p[at] = keep
+            assert math.isclose((sides[0] - sides[1]) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-7)
+    model.out_bias += 1e-5
+    up = loss()
+    model.out_bias -= 2e-5
+    assert math.isclose((up - loss()) / 2e-5, d_bias, rel_tol=1e-4)
+
+
+def test_toxicity_on_odd_tables(spark):
+    """String ids, repeated ids, columns named like those that are added, no rows."""
+    rng = random.Random(8)
+    rows = [(f"d{i % 200}", toy(rng, 20, i % 4 == 0), "en", 7.0, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, toxicity double, row string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(200)], "doc_id string, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score_documents(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "row", "toxicity", "toxic_by_lang"] and out.count() == 400
+    again = toxicity.fit(docs.repartition(7), labels.repartition(5))
+    assert np.array_equal(model.tables, again.tables)
+    none = toxicity.fit(docs.limit(0), labels)
+    assert all(r.toxicity < 1e-6 for r in toxicity.score_documents(docs, none).collect())
+
+
 def brute_chain(x, y, k):
     score = []
     for i in range(len(x)):

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import xxhash
 
 from lemmary.llm import prefix_hash as ph
 from lemmary.llm import simhash
-from lemmary.llm.common import components
+from lemmary.llm.common import components, made, release, written
 
 
 def brute_fingerprint(text):
@@ -77,6 +78,27 @@ def test_links_lose_nothing(spark, most):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_parted_keys_lose_no_pair(spark):
+    rows = [(1, i, 40) for i in range(40)] + [(2, i, 3) for i in range(3)] + [(3, 7, 1)]
+    met = simhash.parted(spark.createDataFrame(rows, "key long, id long, n long"), 8).collect()
+    by_key = {}
+    for r in met:
+        by_key.setdefault(r.key, set()).add(r.id)
+    pairs = {(a, b) for own in by_key.values() for a in own for b in own if a < b}
+    assert pairs == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    assert max(len(own) for own in by_key.values()) <= 16
+
+
+def test_release_keeps_what_is_read(spark):
+    first = written(spark.range(5), "first")
+    mark = made()
+    one, two = written(spark.range(7), "one"), written(spark.range(9), "two")
+    folder = os.path.dirname(one.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    assert release(spark, mark, keep=two) == 1
+    assert two.count() == 9 and first.count() == 5 and not os.path.exists(folder)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)] + [(7, 7)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -124,6 +146,43 @@ def test_prefix_spans():
     assert a.spans(12)[7] == a.span(7, 19)
 
 
+def test_fingerprint_by_plain_loops():
+    """Every part of a fingerprint from sums and powers of plain integers."""
+    p, rng = 2**31 - 1, random.Random(6)
+    mix = lambda x: ((x * 0x9E3779B97F4A7C15 % 2**64) ^ (x * 0x9E3779B97F4A7C15 % 2**64 >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+    for n in (0, 1, 5, 11, 12, 13, 40, 400):
+        text = "".join(rng.choice("abcdé 😀") for _ in range(n))
+        whole = lambda t, base: sum((ord(c) + 1) * pow(base, i, p) for i, c in enumerate(t)) % p
+        if not text:
+            assert ph.fingerprint(text) == "0---"
+            continue
+        w = min(ph.SPAN, n)
+        low = {}
+        for i in range(n - w + 1):
+            x = mix(whole(text[i : i + w], ph.BASES[0]))
+            low[x >> 58] = min(low.get(x >> 58, 2**64), x & (2**58 - 1))
+        sketch = "".join(f"{low[c] & 0xFFFF:04x}" if c in low else "...." for c in range(ph.CLASSES))
+        places, k = [], 0
+        while int(2 ** (k / 4)) <= n:
+            places.append(int(2 ** (k / 4)))
+            k += 1
+        grid = "".join(f"{whole(text[:i], ph.BASES[0]) & 0xFFFFFF:06x}" for i in sorted(set(places)))
+        assert ph.fingerprint(text) == f"{n:x}-{whole(text, ph.BASES[0]):08x}{whole(text, ph.BASES[1]):08x}-{sketch}-{grid}"
+
+
+def test_likeness_follows_what_is_shared():
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    near = lambda a, b: ph.likeness(ph.fingerprint(a), ph.fingerprint(b))
+    for _ in range(30):
+        a, b = text(3000), text(3000)
+        assert near(a, a) == 1 and near(a, b) < 0.1 and near(a, "") == 0 and near("", "") == 1
+        assert near(a, a[:1500] + "inserted" + a[1500:]) > 0.85
+        assert near(a, a[1500:] + a[:1500]) > 0.85  # halves swapped
+        assert 0.55 < near(a, a[:2000] + text(1000)) < 0.8  # the common beginning
+        assert 0.15 < near(a, text(1500) + a[1500:]) < 0.55  # half of the spans: a third of both sets
+
+
 def test_edit_likeness(spark, odd, odd_rows, empty):
     out = ph.edit_likeness(odd, slices=4).collect()
     assert len(out) == len(odd_rows)

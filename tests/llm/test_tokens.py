@@ -32,6 +32,21 @@ def test_chunks_encode_like_whole_texts(vocab, name, spaces):
         assert flat[ends[i] : ends[i + 1]].tolist() == ids, repr(texts[i])
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
+def test_every_code_point_encodes_like_the_library(vocab, name, spaces):
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    flat, ends = library_encoder(vocab(name), spaces).encode(texts)
+    want = [e.ids for e in tokenizer(vocab(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [hex(ord(texts[i][1])) for i, ids in enumerate(want) if flat[ends[i] : ends[i + 1]].tolist() != ids] == []
+
+
+def test_other_splits_are_refused(vocab):
+    with pytest.raises(ValueError):
+        library_encoder(vocab("byte_bpe_50k.json"), "dropped")
+    with pytest.raises(ValueError):
+        bpe.RankArrayBPE(vocab("word_bpe_49k.json"))
+
+
 def test_rank_array_equals_library(vocab):
     path = vocab("byte_bpe_50k.json")
     own, lib = bpe.RankArrayBPE(path), tokenizer(path)
@@ -120,6 +135,26 @@ def test_shards_round_trip(spark, odd, odd_rows, empty, vocab):
     assert sstable.read_shards(spark, sstable.write_shards(empty, path)).count() == 0
 
 
+def test_shards_refuse_what_does_not_fit(spark, empty, vocab):
+    path = vocab("byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        sstable.write_shards(empty, path, end_id=1 << 16, id_width=2)
+    with pytest.raises(TypeError):
+        sstable.write_shards(empty.selectExpr("string(doc_id) doc_id", "text"), path)
+    docs = spark.createDataFrame([(3, "a b"), (1, "c")], "doc_id int, text string")
+    shards = sstable.write_shards(docs, path, end_id=70_000)
+    rows = sstable.read_shards(spark, shards).collect()
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4")[-1]) for r in rows) == [(1, 70_000), (3, 70_000)]
+
+
+def test_shards_follow_the_bytes(spark, vocab):
+    docs = spark.range(300).selectExpr("id * 7 - 500 doc_id", "repeat(concat('word ', id, ' '), 40) text")
+    shards = sstable.write_shards(docs, vocab("byte_bpe_50k.json"), shard_bytes=5000)
+    assert len(shards) > 20 and sum(s["docs"] for s in shards) == 300
+    rows = sorted(sstable.read_shards(spark, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [i * 7 - 500 for i in range(300)]
+
+
 def test_shard_file(tmp_path):
     writer = sstable.ShardWriter(str(tmp_path / "a.sst"), 2)
     values = {i: np.arange(i % 50, dtype="<u2").tobytes() for i in range(-3000, 30000, 7)}
