@@ -51,12 +51,14 @@ def identities(
     the blocks by two hashes; if any two blocks share both, by their contents.
     """
     blocks = _blocks(docs, id_column, text_column, block_chars, F.monotonically_increasing_id() if rid is None else rid, hash_bits)
-    names = written(_name_blocks(blocks), "block-names")
-    twins = names.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    key = ["h", "h2", "block"] if twins else ["h", "h2"]
+    key = ["h", "h2"]
+    names = written(_name_blocks(blocks).select(*key, "name"), "block-names")
+    if names.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        key = ["h", "h2", "block"]
+        names = written(_name_blocks(blocks).select(*key, "name"), "block-names")
     # Read from tables, both sides of the join are plain exchanges: a frequent block's partition can be split.
     places = written(blocks.select("rid", "doc_id", "text_sha256", "blocks", "pos", *key), "block-places")
-    joined = places.join(names.select(*key, "name"), key)
+    joined = places.join(names, key)
     named = written(joined.select("rid", "doc_id", "text_sha256", "blocks", "pos", "name"), "named-blocks")
 
     most = named.agg(F.max("blocks").alias("m")).first().m or 0
