@@ -46,16 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many folders this process has written and not removed: a mark for ``release``."""
-    return len(_MADE)
+def made() -> list[str]:
+    """The folders that this process has written and not removed."""
+    return list(_MADE)
 
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Remove the folders written since a mark, but for those that ``keep`` reads; other frames that read them are void. Returns how many."""
+def release(spark: SparkSession, folders: list[str], keep: DataFrame | None = None) -> int:
+    """Remove folders of ``made`` but for those that ``keep`` reads; other frames that read them are void. Returns how many."""
     used = keep.inputFiles() if keep is not None else []
     conf, removed = spark._jsc.hadoopConfiguration(), 0
-    for path in _MADE[since:]:
+    for path in [p for p in folders if p in _MADE]:
         folder = f"/{path.rpartition('/')[2]}/"  # the name is unique
         if not any(folder in f for f in used):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ from lemmary.llm.common import components, fresh_name, numbered, text_of, writte
 PIVOTS = 24
 SEED = 42
 #: A bucket of more distinct fingerprints is linked through flipped bits instead, without loss.
-BUCKET_LIMIT = 16_384
+BUCKET_LIMIT = 8_192
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -97,104 +97,186 @@ def _bucket_keys(bits: int, parts: int) -> list[int]:
     return [sum(c) for c in combinations(part, parts - bits)]
 
 
-def _spanning_links(key: np.ndarray, fp: np.ndarray, limit: int, most: int, pivot: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows are sorted by key. For each key a spanning forest of the links within ``limit`` bits.
-
-    fp: (rows, words). With ``own``, a group number for each row, all links between different groups instead. Returns the rows of both ends and the pairs verified.
-    """
+def _table(fp: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """(rows, pivots): the distance of each fingerprint of (rows, words) to each pivot."""
     table = np.bitwise_count(fp[:, :1] ^ pivot[None, :]).astype(np.int16)
     for k in range(1, fp.shape[1]):
         table += np.bitwise_count(fp[:, k : k + 1] ^ np.roll(pivot, k)[None, :]).astype(np.int16)
+    return table
+
+
+def _within(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs (i, j) are within the limit: the tables discard most, their survivors are compared."""
+    at = np.arange(len(i))
+    for p in range(table.shape[1]):
+        if len(at):
+            at = at[np.abs(table[i[at], p] - table[j[at], p]) <= limit]
+    return at[np.bitwise_count(fp[i[at]] ^ fp[j[at]]).sum(axis=1, dtype=np.int64) <= limit]
+
+
+def _walk(key: np.ndarray, fp: np.ndarray, limit: int, pivot: np.ndarray, own: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal keys meet, neighbours by the first pivot first. Returns a spanning forest of the links and the rows that have any.
+
+    With ``ids`` the links of a key's row of the smallest id are tried first, so
+    that keys of the same rows give the same links, and rows that are connected
+    are not compared; ``own`` numbers the rows' groups. Without it no groups are
+    joined: only which rows have a link to another group is found.
+    """
+    table = _table(fp, pivot)
     order = np.lexsort((table[:, 0], key))
-    key, fp, table = key[order], fp[order], table[order]
-    n, every = len(key), own is not None
+    key, fp, table, label = key[order], fp[order], table[order], own[order]
+    n, join = len(key), ids is not None
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
-    size = np.diff(np.r_[begin, n])
-    ok = np.repeat(size <= most, size)
-    label = own[order] if every else np.arange(n)
-    group = np.repeat(np.arange(len(begin)), size)
-    a_out, b_out, verified, shift, merged = [], [], 0, 1, False
-    i = np.flatnonzero(ok)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, n]))
+    marked = np.zeros(n, bool)
+    a_out: list[np.ndarray] = []
+    b_out: list[np.ndarray] = []
+
+    def merge(a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            # One merge for each root in a pass: the first pair that lowers it.
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            roots, first = np.unique(high, return_index=True)
+            a_out.append(order[a[first]])
+            b_out.append(order[b[first]])
+            label[roots] = low[first]
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+
+    if join and n:
+        label = np.arange(n)
+        by_id = np.lexsort((ids[order], key))
+        center = by_id[begin][group]
+        other = np.flatnonzero(center != np.arange(n))
+        near = _within(fp, table, other, center[other], limit)
+        merge(center[other[near]], other[near])
+    i, shift, look = np.arange(n), 1, True
     while len(i):
-        if merged:  # a key whose rows are all connected needs no further look
-            whole = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
-            i, merged = i[~whole[group[i]]], False
+        if look:  # a key whose rows are all connected, or all marked, needs no further look
+            done = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
+            if not join:
+                done |= np.minimum.reduceat(marked, begin)
+            i = i[~done[group[i]]]
         i = i[i + shift < n]
         j = i + shift
         alive = (key[j] == key[i]) & (table[j, 0] - table[i, 0] <= limit)  # sorted by the first pivot: no later row fits either
         i, j = i[alive], j[alive]
-        apart = label[i] != label[j]
-        a, b = i[apart], j[apart]
-        for p in range(1, table.shape[1]):
-            if not len(a):
-                break
-            near = np.abs(table[a, p] - table[b, p]) <= limit
-            a, b = a[near], b[near]
-        if len(a):
-            verified += len(a)
-            real = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= limit
-            a, b = a[real], b[real]
-            if every and len(a):
-                a_out.append(order[a])
-                b_out.append(order[b])
-            while len(a) and not every:
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-                if not len(a):
-                    break
-                # One merge for each root in a pass: the first pair that lowers it.
-                merged = True
-                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                roots, first = np.unique(high, return_index=True)
-                a_out.append(order[a[first]])
-                b_out.append(order[b[first]])
-                label[roots] = low[first]
-                while True:
-                    up = label[label]
-                    if np.array_equal(up, label):
-                        break
-                    label = up
+        open_ = np.flatnonzero((label[i] != label[j]) & ~(marked[i] & marked[j]))
+        near = open_[_within(fp, table, i[open_], j[open_], limit)]
+        look = len(near) > 0
+        if look and join:
+            merge(i[near], j[near])
+        elif look:
+            marked[i[near]] = marked[j[near]] = True
         shift += 1
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(a_out), join(b_out), verified
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(a_out), cat(b_out), order[marked]
+
+
+def by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` of the rows of whole keys (column 0, a long), a bounded number of keys at a time, in tasks dealt by the key."""
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            held.append(batch)
+            if held[0].column(0)[0].as_py() == last:
+                continue  # one key so far
+            cut = int(np.searchsorted(batch.column(0).to_numpy(), last))  # the last key may go on
+            if cut or len(held) > 1:
+                yield solve(pa.concat_batches([*held[:-1], batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield solve(pa.concat_batches(held))
+
+    return dealt.mapInArrow(run, schema)
+
 
+def _plain(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return batch.column(i).to_numpy(zero_copy_only=False)
 
-def bucket_links(keyed: DataFrame, limit: int, most: int = BUCKET_LIMIT, group: bool = False) -> DataFrame:
+
+def _prints(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+
+
+def bucket_links(keyed: DataFrame, limit: int) -> DataFrame:
     """(a, b): links within ``limit`` bits among rows (key long, id long, fp array<long>) of one key.
 
-    A key's rows are sorted next to each other and read in a stream. Only links
-    that join two groups are given out, so a dense bucket yields one row less
-    than it has members. Buckets of over ``most`` rows are left to the caller.
-    With ``group`` the rows have a fourth column, a long, and all links between
-    rows of different groups are given out.
+    Only links that join two groups are given out, so a dense bucket yields one
+    row less than it has members.
     """
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
     pivot = pivots()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _plain(batch, 1)
+        a, b, _ = _walk(_plain(batch, 0), _prints(batch), limit, pivot, np.arange(len(ids)), ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
-        def solve(key: np.ndarray, own: np.ndarray, fp: np.ndarray, *groups: np.ndarray) -> pa.RecordBatch:
-            a, b, _ = _spanning_links(key, fp, limit, most, pivot, *groups)
-            return pa.RecordBatch.from_arrays([pa.array(own[a], pa.int64()), pa.array(own[b], pa.int64())], ["a", "b"])
+    return by_key(keyed, solve, "a long, b long")
 
-        for batch in batches:
-            key, own, *groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in ((0, 1, 3) if group else (0, 1)))
-            if not len(key):
-                continue
-            lists = batch.column(2)
-            fp = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
-            held.append((key, own, fp, *groups))
-            if held[0][0][0] == key[-1]:
-                continue  # one key so far
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(rows[0], key[-1]))  # the last key may go on
-            yield solve(*(x[:cut] for x in rows))
-            held = [tuple(x[cut:] for x in rows)]
-        if held:
-            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.mapInArrow(run, "a long, b long")
+def bucket_rows(grouped: DataFrame, limit: int) -> DataFrame:
+    """The rows (key, id, own) of (key, id, fp, own) that are within ``limit`` bits of a row of their key in another group ``own``."""
+    pivot = pivots()
+
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, own = _plain(batch, 0), _plain(batch, 3)
+        _, _, at = _walk(key, _prints(batch), limit, pivot, np.unique(own, return_inverse=True)[1], None)
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(_plain(batch, 1)[at]), pa.array(own[at])], ["key", "id", "own"])
+
+    return by_key(grouped, solve, "key long, id long, own long")
+
+
+def _alike(own: np.ndarray, flat: np.ndarray, ends: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join groups ``own`` among sets flat[ends[i]:ends[i + 1]] of Jaccard similarity or more: for each row, its overlaps with all others are counted at once."""
+    n, size = len(own), np.diff(ends)
+    place = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    holder = np.repeat(np.arange(n), size)[order]
+    begin = np.searchsorted(place[order], np.arange(place.max() + 2))
+    label = np.unique(own, return_inverse=True)[1]
+    groups, a, b = int(label.max()) + 1, [], []
+    for i in range(n):
+        if groups < 2:
+            break
+        mine = place[ends[i] : ends[i + 1]]
+        many = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(holder[at], minlength=n)
+        near = np.flatnonzero((label != label[i]) & (both >= similarity * (size + size[i] - both) - 1e-9))
+        found, first = np.unique(label[near], return_index=True)
+        a += [i] * len(found)
+        b += near[first].tolist()
+        label[np.isin(label, found)] = label[i]
+        groups -= len(found)
+    return a, b
+
+
+def bucket_verified(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the groups of rows (key, id, own, s array<int>) of one key, by the similarity of their sets."""
+
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, ids, own = (_plain(batch, i) for i in range(3))
+        sets = batch.column(3)
+        flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
+        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        a_out, b_out = [], []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            a, b = _alike(own[x:y], flat[ends[x] : ends[y]], ends[x : y + 1] - ends[x], similarity)
+            a_out.append(ids[x:y][a])
+            b_out.append(ids[x:y][b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a_out, b_out)], ["a", "b"])
+
+    return by_key(rows, solve, "a long, b long")
 
 
 def parted(keyed: DataFrame, most: int = BUCKET_LIMIT) -> DataFrame:
@@ -299,15 +381,22 @@ def sketches(read: DataFrame, width: int) -> DataFrame:
     return read.mapInArrow(run, f"rid long, doc_id {id_type}, same binary, fp array<long>, keys array<long>")
 
 
-def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows (rid, text) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+def sets_of(read: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the set of shingles, as 32 bits of each hash, of the rows (rid, text) whose number is among ``ids``."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "s"])
+            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "s"])
+
+    wanted = ids.select(F.col("id").alias("rid")).distinct()
+    return written(read.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(shingle, "id long, s array<int>"), "simhash-sets")
+
+
+def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows (rid, text) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    sets = sets_of(read, pairs.select(F.explode(F.array("a", "b")).alias("id")), width)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,8 +408,7 @@ def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(read.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(shingle, "rid long, s array<long>"), "simhash-sets")
-    x, y = sets.select(F.col("rid").alias("a"), F.col("s").alias("x")), sets.select(F.col("rid").alias("b"), F.col("s").alias("y"))
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "simhash-links")
 
 
@@ -347,11 +435,12 @@ def near_duplicate_groups(
     bands = distinct.select(F.explode("keys").alias("key"), F.col("low").alias("id"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bands = written(bands.join(shared, "key"), "simhash-bands")  # keys of one row alone go before fingerprints travel
-    keyed = parted(bands.join(distinct.select(F.col("low").alias("id"), "fp"), "id"))
-    links = verified(bucket_links(keyed.select("key", "id", "fp"), PRINT_LIMIT, 1 << 40), read, width, similarity)
+    keyed = written(parted(bands.join(distinct.select(F.col("low").alias("id"), "fp"), "id")).select("key", "id", "fp"), "simhash-keyed")
+    links = verified(bucket_links(keyed, PRINT_LIMIT), read, width, similarity)
     label = written(components(links).select(F.col("node").alias("id"), "label"), "simhash-groups")
     grouped = keyed.join(label, "id", "left").select("key", "id", "fp", F.coalesce("label", "id").alias("own"))
-    more = verified(bucket_links(grouped, PRINT_LIMIT, 1 << 40, group=True), read, width, similarity)
+    apart = written(bucket_rows(grouped, PRINT_LIMIT), "simhash-apart")
+    more = bucket_verified(apart.join(sets_of(read, apart, width), "id").select("key", "id", "own", "s"), similarity)
     label = components(links.unionByName(more))
     named = distinct.join(label.withColumnRenamed("node", "low"), "low", "left").select("same", F.coalesce("label", "low").alias("group"))
     return table.join(named, "same", "left").select("rid", "doc_id", F.coalesce("group", "rid").alias("group"))

@@ -78,6 +78,41 @@ def test_links_lose_nothing(spark, most):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_dense_groups_below_the_similarity(spark, monkeypatch):
+    """Copies of one text with a few changed words each: all are near, only some are at 0.8. Small keys are parted as large ones are."""
+    rng = random.Random(19)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, rows = some(90), []
+    for _ in range(150):
+        own = list(base)
+        for i in rng.sample(range(90), rng.randrange(1, 9)):
+            own[i] = some(1)[0]
+        rows.append(" ".join(own))
+    sets = [shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = [find(i) for i in range(len(rows))]
+    assert 20 < len(set(want)) < 140
+    for most in (simhash.BUCKET_LIMIT, 16):
+        monkeypatch.setattr(simhash.parted, "__defaults__", (most,))
+        out = simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)).collect()
+        group = {r.doc_id: r.group for r in out}
+        first = {}
+        for i, g in sorted(group.items()):
+            first.setdefault(g, i)
+        assert [first[group[i]] for i in range(len(rows))] == want
+
+
 def test_parted_keys_lose_no_pair(spark):
     rows = [(1, i, 40) for i in range(40)] + [(2, i, 3) for i in range(3)] + [(3, 7, 1)]
     met = simhash.parted(spark.createDataFrame(rows, "key long, id long, n long"), 8).collect()
@@ -91,11 +126,11 @@ def test_parted_keys_lose_no_pair(spark):
 
 def test_release_keeps_what_is_read(spark):
     first = written(spark.range(5), "first")
-    mark = made()
+    before = made()
     one, two = written(spark.range(7), "one"), written(spark.range(9), "two")
     folder = os.path.dirname(one.inputFiles()[0].removeprefix("file://"))
     assert os.path.isdir(folder)
-    assert release(spark, mark, keep=two) == 1
+    assert release(spark, [p for p in made() if p not in before], keep=two) == 1
     assert two.count() == 9 and first.count() == 5 and not os.path.exists(folder)
 
 
