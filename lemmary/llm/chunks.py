@@ -23,7 +23,7 @@ UNSAFE_SPACE = re.compile(r"\s (?!\S)")
 #: Characters that Python counts as white space and the tokenizers' patterns do not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Entries of each generation of a cache.
-CACHE = 600_000
+CACHE = 400_000
 #: Characters that are encoded in one round, whatever the size of a batch.
 ROUND_CHARS = 2_000_000
 
@@ -96,6 +96,11 @@ class ChunkEncoder:
             return self.coder.word(found[0])
         return b"".join([self.rest[p] if p.isascii() and p.isalpha() else self.parts[p] for p in found])
 
+    def rest_a_while(self) -> None:
+        """At a task's end: the worker that waits for the next one keeps the present generation only."""
+        for kept in (self.first, self.rest, self.parts):
+            kept.old = {}
+
     def encode_text(self, text: str) -> bytes:
         if not self.kept:
             return self.coder.encode(text) if ODD_SPACE.search(text) else b"".join(map(self.rest.__getitem__, text.split()))

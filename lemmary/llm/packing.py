@@ -198,6 +198,7 @@ def pack_documents(
                     yield from flush(False)
         if queue:
             yield from flush(True)
+        encoder.rest_a_while()
 
     sql = {pa.int64(): "long", pa.list_(pa.int32()): "array<int>"}
     schema = ", ".join(f"{n} {id_field.dataType.simpleString() if t is None else sql[t]}" for n, t in FIELDS if n in names)

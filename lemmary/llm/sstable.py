@@ -230,6 +230,7 @@ def write_shards(
                 flat = flat.astype(dtype)
                 values = [flat[a:b].tobytes() + last for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[part]), ids.slice(part.start, part.stop - part.start), pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
+        encoder.rest_a_while()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
