@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
-from itertools import combinations, islice, permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,26 +45,29 @@ def _table(rows: Iterable[tuple[int, ...]]) -> Column:
     return F.from_json(F.lit(json.dumps([list(r) for r in rows])), "array<array<int>>")
 
 
-def permute(instances: DataFrame, most_atoms: int = 6, limit: int = LIMIT) -> DataFrame:
-    """Other orders of the body, lexicographic by position, the first ten that differ in value."""
-    body = F.col("body")
-    out = F.array().cast("array<array<int>>")
-    for n in range(2, most_atoms + 1):
-        table = _table(islice(permutations(range(n)), 720))
-        out = F.when(F.size(body) == n, table).otherwise(out)
-    orders = F.filter(out, lambda p: F.transform(p, lambda i: F.get(body, i)) != body)
-    texts = F.transform(F.slice(orders, 1, limit), lambda p: F.array_join(F.transform(p, lambda i: atom(F.get(body, i))), JOIN))
-    return _expanded(instances, texts)
+def permute(instances: DataFrame, places: int = 6, limit: int = LIMIT) -> DataFrame:
+    """Other orders of the body, lexicographic by position, the first ten that differ in value. Bodies of any length.
 
-
-def reduce_body(instances: DataFrame, most_atoms: int = 8, limit: int = LIMIT) -> DataFrame:
-    """The body without each atom, and without each pair of atoms if it has over three."""
-    body = F.col("body")
+    The first orders move the last few atoms only: orders of the last ``places``
+    are tried, 720 of them, so a body that ends in six equal atoms has none.
+    """
+    body, n = F.col("body"), F.size("body")
+    moved = F.least(n, F.lit(places))
     out = F.array().cast("array<array<int>>")
-    for n in range(2, most_atoms + 1):
-        drops = [(i,) for i in range(n)] + (list(combinations(range(n), 2)) if n > 3 else [])
-        table = _table(drops)
-        out = F.when(F.size(body) == n, table).otherwise(out)
+    for k in range(2, places + 1):
+        out = F.when(moved == k, _table(permutations(range(k)))).otherwise(out)
+    order = lambda p: F.concat(F.slice(body, F.lit(1), n - moved), F.transform(p, lambda i: F.get(body, n - moved + i)))
+    orders = F.filter(F.transform(out, order), lambda x: x != body)
+    return _expanded(instances, F.transform(F.slice(orders, 1, limit), lambda x: atoms(x)))
+
+
+def reduce_body(instances: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The body without each atom, and without each pair of atoms if it has over three; the first ten. Bodies of any length from two."""
+    body, n = F.col("body"), F.size("body")
+    single = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.array(i))
+    out = F.when(n >= limit, single).otherwise(F.array().cast("array<array<int>>"))  # a longer body has enough single atoms
+    for k in range(2, limit):
+        out = F.when(n == k, _table([(i,) for i in range(k)] + (list(combinations(range(k), 2)) if k > 3 else []))).otherwise(out)
     texts = F.transform(F.slice(out, 1, limit), lambda d: atoms(F.filter(body, lambda x, i: ~F.array_contains(d, i))))
     return _expanded(instances, texts)
 
@@ -93,8 +96,9 @@ def augment(instances: DataFrame, triples: DataFrame, limit: int = 5, seed: int
 
     Instances need a column entities, in the order of the rule's variables.
     """
-    facts = entity_samples(triples, seed)
     rows = instances.select("instance_id", "body", "head", F.posexplode("entities").alias("at", "entity"))
+    wanted = rows.select(F.col("entity").alias("s")).distinct()
+    facts = entity_samples(triples.join(wanted, "s", "left_semi"), seed)  # windows over the entities in use only
     joined = rows.join(facts, "entity").withColumn("fact", F.struct(F.col("entity").alias("s"), F.col("p").alias("p"), F.col("o").alias("o")))
     fresh = joined.filter(~F.array_contains("body", F.col("fact")))
     n = F.row_number().over(Window.partitionBy("instance_id").orderBy("at", "rank"))

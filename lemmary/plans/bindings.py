@@ -138,7 +138,7 @@ FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN labels l
 
 def with_views(sql: str, *names: str) -> str:
     """The statement after common table expressions for the named views."""
-    head = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in names)
     sql = sql.strip()
     if sql.upper().startswith("WITH "):
         return f"WITH {head},\n{sql[5:]}"

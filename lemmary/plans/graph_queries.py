@@ -307,11 +307,11 @@ def compatible_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "J13_entity_facts",
-    w(f"SELECT m.a AS entity, t.p, t.o FROM ({_REGION_SQL}) m JOIN triples t ON t.s = m.a", "triples"),
+    w(f"SELECT m.a AS entity, t.p, t.o FROM (SELECT DISTINCT a FROM ({_REGION_SQL})) m JOIN triples t ON t.s = m.a", "triples"),
 )
 def entity_facts(spark: SparkSession, sf: str) -> DataFrame:
     t = b.triples(spark, sf)
-    found = rules.match(t, list(rules.parse_horn(REGION_RULE).body)).select(F.col("a").alias("entity"))
+    found = rules.match(t, list(rules.parse_horn(REGION_RULE).body)).select(F.col("a").alias("entity")).distinct()
     return graph.facts_of(found, t).select("entity", "p", "o")
 
 

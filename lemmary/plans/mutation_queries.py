@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,35 @@ def body_reduction(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.reduce_body(chain(spark, sf))
 
 
+def long_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """An instance with a body of 2 to 14 atoms for each part."""
+    n, id_ = F.expr("CAST(2 + p_partkey % 13 AS INT)"), F.col("p_partkey").cast("string")
+    atom = lambda i: F.struct(F.concat(F.lit("?v"), i.cast("string")).alias("s"), F.concat(F.lit("P"), (i * 7 % 5).cast("string")).alias("p"), F.concat(F.lit("Q"), id_).alias("o"))
+    part = b.table(spark, sf, "part")
+    return part.select(id_.alias("instance_id"), F.transform(F.sequence(F.lit(0), n - 1), atom).alias("body"), F.struct(F.lit("?v0").alias("s"), F.lit("P9").alias("p"), F.lit("?v1").alias("o")).alias("head"))
+
+
+_LONG = "(SELECT CAST(p_partkey AS VARCHAR) AS instance_id, 2 + p_partkey % 13 AS n, [concat('?v', i, ' P', i * 7 % 5, ' Q', p_partkey) for i in range(2 + p_partkey % 13)] AS body FROM part)"
+_ORDERS = ", ".join(f"({k}, {i}, {[x + 1 for x in p]})" for k in (2, 3, 4) for i, p in enumerate(list(permutations(range(k)))[1:11]))
+_DROPS = ", ".join(f"({n}, {i}, {[x + 1 for x in d]})" for n in range(2, 15) for i, d in enumerate(([(i,) for i in range(n)] + (list(combinations(range(n), 2)) if n > 3 else []))[:10]))
+
+
+@query(
+    "M1_long_bodies",
+    f"SELECT instance_id, idx, array_to_string(list_concat(body[1:n - k], [body[n - k + x] for x in p]), '   ') AS mutated_body, '?v0 P9 ?v1' AS expected_head FROM {_LONG} JOIN (VALUES {_ORDERS}) o(k, idx, p) ON k = least(n, 4)",
+)
+def long_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    return mutate.permute(long_bodies(spark, sf))
+
+
+@query(
+    "M3_long_bodies",
+    f"SELECT instance_id, idx, array_to_string([body[x] for x in range(1, n + 1) if NOT list_contains(d, x)], '   ') AS mutated_body, '?v0 P9 ?v1' AS expected_head FROM {_LONG} JOIN (VALUES {_DROPS}) o(m, idx, d) ON m = n",
+)
+def long_reductions(spark: SparkSession, sf: str) -> DataFrame:
+    return mutate.reduce_body(long_bodies(spark, sf))
+
+
 def _md5(seed: int) -> str:
     return f"md5(concat_ws('|', '{seed}', s, p, o))"
 

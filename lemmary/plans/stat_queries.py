@@ -454,15 +454,15 @@ def violation_statistics(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "A29_majority_vote",
     """WITH v AS (SELECT l_orderkey AS row_index, trim(l_returnflag) AS answer, count(*) AS n, min(l_linenumber * 1000000 + l_partkey) AS pos FROM lineitem WHERE trim(l_returnflag) <> '' GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY n DESC, pos) AS k, max(n) OVER (PARTITION BY row_index) AS top FROM v)
+r AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY n DESC, pos, answer) AS k, max(n) OVER (PARTITION BY row_index) AS top FROM v)
 SELECT row_index, max(CASE WHEN k = 1 THEN answer END) AS voted, CAST(max(top) AS BIGINT) AS votes, count_if(n = top) > 1 AS tie FROM r GROUP BY row_index""",
 )
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent answer, the earliest among equals; tie says whether there were any."""
+    """The most frequent answer, the earliest among equals, then the first by name; tie says whether there were equals."""
     item = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_index"), F.trim("l_returnflag").alias("answer"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"))
     v = item.filter("answer <> ''").groupBy("row_index", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     best = v.groupBy("row_index").agg(
-        F.max_by("answer", F.struct("n", -F.col("pos"))).alias("voted"), F.max("n").alias("votes"), F.collect_list("n").alias("ns")
+        F.min_by("answer", F.struct(-F.col("n"), "pos", "answer")).alias("voted"), F.max("n").alias("votes"), F.collect_list("n").alias("ns")
     )
     return best.select("row_index", "voted", "votes", (F.size(F.filter("ns", lambda n: n == F.col("votes"))) > 1).alias("tie"))
 
