@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lemmary.llm import brown_lm, chaining, toxicity
 from lemmary.llm.common import fold_of, text_of
@@ -415,3 +416,49 @@ def test_run_hashes():
         assert len(h) == 201 - run and len(set(h.tolist())) == len(h)
         assert np.array_equal(chaining.run_hashes(words[30:120], run), h[30 : 121 - run])
     assert len(chaining.run_hashes(words[:9], 10)) == 0
+
+
+def test_word_hashes_and_seeds_by_plain_loops():
+    rng = np.random.default_rng(8)
+    pool = ["a", "B", "bc", "Straße", "x" * 300, "ß", "İ", "naïve", "bb", "cb"]
+    gaps = [" ", "\n", "\t\x0b", "  ", " ", "\x1c"]
+    texts = ["".join(str(rng.choice(pool)) + str(rng.choice(gaps)) for _ in range(int(rng.integers(0, 60)))) for _ in range(80)] + ["", " ", "a", "a b c"]
+    column = pa.array(["head", *texts]).slice(1)
+    plain = [[w.decode() for w in t.encode().lower().split()] for t in texts]
+    hashes, sizes = [], []
+    for data, ends in chaining.text_blocks(column):
+        h, n = chaining.word_hashes(data, ends)
+        hashes.append(h)
+        sizes.append(n)
+    words, sizes = np.concatenate(hashes), np.concatenate(sizes)
+    assert sizes.tolist() == [len(p) for p in plain]
+    flat = [w for p in plain for w in p]
+    assert len(set(zip(flat, words.tolist(), strict=True))) == len(set(flat)) == len(set(words.tolist()))
+    seeds, places, count, again, held = chaining.numbered_minimizers(words, sizes)
+    at = np.cumsum(held) - held
+    where = np.cumsum(sizes) - sizes
+    for i, n in enumerate(sizes.tolist()):
+        w = words[where[i] : where[i] + n]
+        kmers = [tuple(w[j : j + chaining.K].tolist()) for j in range(n - chaining.K + 1)]
+        mine = places[at[i] : at[i] + held[i]].tolist()
+        # The seed of a place is its k-mer's: the same k-mer, the same number but for its count.
+        assert [kmers[p] for p in mine] == [kmers[p] for p in sorted(mine)]
+        alone = chaining.numbered_minimizers(w, np.array([n]))
+        for whole, own in zip((seeds, places, count, again), alone, strict=False):
+            assert whole[at[i] : at[i] + held[i]].tolist() == own.tolist()
+        for lo in range(max(len(kmers) - chaining.WINDOW + 1, 0)):
+            assert any(lo <= p < lo + chaining.WINDOW for p in mine)
+        seen: dict[tuple[int, ...], int] = {}
+        for j, p in enumerate(mine):
+            assert count[at[i] + j] == seen.get(kmers[p], 0)
+            seen[kmers[p]] = seen.get(kmers[p], 0) + 1
+        assert [bool(a) for a in again[at[i] : at[i] + held[i]]] == [seen[kmers[p]] > 1 for p in mine]
+
+
+def test_long_texts_are_hashed_in_parts():
+    words = [f"w{i % 5000}" for i in range(300_000)]
+    words[1000] = "y" * (3 << 20)  # longer than a block by itself
+    text = " ".join(words).encode()
+    h, n = chaining.word_hashes(np.frombuffer(text, np.uint8), np.array([len(text)]))
+    assert n.tolist() == [len(words)] and len(set(h.tolist())) == 5001
+    assert h[0] == h[5000] and h[999] == h[5999] and h[1001] == h[6001]
