@@ -49,15 +49,21 @@ def inconsistent_first(frame: DataFrame, groups: Sequence[str], verdict: str, ke
     ).drop("_r", "_b")
 
 
-def split(frame: DataFrame, strata: Sequence[str], key: Sequence[str], shares: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:
+def split(frame: DataFrame, strata: Sequence[str], key: Sequence[str], shares: tuple[float, float] = (0.7, 0.15), seed: int = 42, piece: int = 1_000_000) -> DataFrame:
     """Add ``split``: train and validation take the floor of their share of each stratum, test the rest.
 
-    Ranks are made of two parts: rows of the stratum with a lower first byte of
-    the hash, and the rank among those with the same one. So a stratum of any
-    size is sorted in 256 pieces, however large its share of the rows.
+    Ranks are made of two parts: rows of the stratum with lower first digits of
+    the hash, and the rank among those with the same ones. There are as many
+    digits as cut all rows into pieces of ``piece`` rows or fewer on average, so
+    no task sorts more of a stratum, however large its share; the result is the
+    same for any number.
     """
     by = list(strata)
-    keyed = frame.withColumn("_o", order_key(seed, *key)).withColumn("_b", F.substring("_o", 1, 2))
+    digits = 1
+    rows = frame.count()
+    while 16**digits * piece < rows:
+        digits += 1
+    keyed = frame.withColumn("_o", order_key(seed, *key)).withColumn("_b", F.substring("_o", 1, digits))
     counts = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
     lower = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({"_f": F.coalesce(F.sum("_k").over(lower), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))}).drop("_k")

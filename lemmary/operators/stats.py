@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,17 +152,25 @@ def sliced_values(frame: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
 
 def tied_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
     """Add the mean-tie rank of a numeric column over all rows; only slices of distinct values are sorted."""
-    sliced, sizes = sliced_values(frame, [column])
-    total, before = 0, []
+    return all_tied_ranks(frame, {column: out})
+
+
+def all_tied_ranks(frame: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add the mean-tie rank of each column under the name given for it; the values of all columns are counted in one pass."""
+    sliced, sizes = sliced_values(frame, list(columns))
+    before, total = [], dict.fromkeys(columns, 0)
     for c, p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[c, p]
-    offsets = frame.sparkSession.createDataFrame(before, "_p int, _before long")
-    within = F.coalesce(F.sum("_k").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sliced.join(F.broadcast(offsets), "_p").select(  # as many offsets as slices
-        "_v", (F.col("_before") + within + (F.col("_k") + 1) / 2).alias(out)
+        before.append((c, p, total[c]))
+        total[c] += sizes[c, p]
+    offsets = frame.sparkSession.createDataFrame(before, "_c string, _p int, _before long")
+    within = F.coalesce(F.sum("_k").over(Window.partitionBy("_c", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sliced.join(F.broadcast(offsets), ["_c", "_p"]).select(  # as many offsets as slices
+        "_c", "_v", (F.col("_before") + within + (F.col("_k") + 1) / 2).alias("_rank")
     )
-    return frame.withColumn("_v", F.col(column).cast("double")).join(ranked, "_v", "left").drop("_v")
+    for c, out in columns.items():
+        one = ranked.filter(F.col("_c") == c).select("_v", F.col("_rank").alias(out))
+        frame = frame.withColumn("_v", F.col(c).cast("double")).join(one, "_v", "left").drop("_v")
+    return frame
 
 
 def quantiles(frame: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:

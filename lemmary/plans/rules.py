@@ -184,27 +184,35 @@ def pattern(triples: DataFrame, atom: Atom) -> DataFrame:
     return frame.select(*[F.col(c).alias(_name(v)) for v, c in first.items()])
 
 
-def match(triples: DataFrame, atoms: list[Atom], counts: dict[str, int] | None = None) -> DataFrame:
-    """All bindings of a conjunction, a column for each variable. Two atoms may bind the same triple."""
+def _joined(frame: DataFrame, part: DataFrame, product: bool) -> DataFrame:
+    shared = [c for c in part.columns if c in frame.columns]
+    if shared:
+        return frame.join(part, shared)
+    if not product:
+        raise ValueError(f"{part.columns} share no variable with {frame.columns}; every combination would be a binding (product=True)")
+    return frame.crossJoin(part)
+
+
+def match(triples: DataFrame, atoms: list[Atom], counts: dict[str, int] | None = None, product: bool = False) -> DataFrame:
+    """All bindings of a conjunction, a column for each variable. Two atoms may bind the same triple.
+
+    Atoms that share no variable are refused unless ``product`` asks for all their combinations.
+    """
     frame = None
     for atom in join_order(atoms, counts):
         part = pattern(triples, atom)
-        if frame is None:
-            frame = part
-            continue
-        shared = [c for c in part.columns if c in frame.columns]
-        frame = frame.join(part, shared) if shared else frame.crossJoin(part)
+        frame = part if frame is None else _joined(frame, part, product)
     return frame
 
 
-def evaluate(triples: DataFrame, part, counts: dict[str, int] | None = None) -> DataFrame:
-    """Distinct bindings of a body with OR and NOT. A negation must share its variables with the positive parts beside it."""
+def evaluate(triples: DataFrame, part, counts: dict[str, int] | None = None, product: bool = False) -> DataFrame:
+    """Distinct bindings of a body with OR and NOT. A negation must share its variables with the positive parts beside it; ``product`` as in match."""
     if isinstance(part, tuple):
-        return match(triples, list(part), counts)
+        return match(triples, list(part), counts, product)
     if isinstance(part, Atom):
         return pattern(triples, part)
     if part.kind == "OR":
-        frames = [evaluate(triples, p, counts) for p in part.parts]
+        frames = [evaluate(triples, p, counts, product) for p in part.parts]
         shared = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
         if not shared:
             raise ValueError("alternatives share no variable")
@@ -213,16 +221,15 @@ def evaluate(triples: DataFrame, part, counts: dict[str, int] | None = None) ->
         raise ValueError("a negation needs a positive part beside it")
     plain = [p for p in part.parts if isinstance(p, Atom)]
     others = [p for p in part.parts if not isinstance(p, Atom) and p.kind != "NOT"]
-    frames = ([match(triples, plain, counts)] if plain else []) + [evaluate(triples, p, counts) for p in others]
+    frames = ([match(triples, plain, counts, product)] if plain else []) + [evaluate(triples, p, counts, product) for p in others]
     if not frames:
         raise ValueError("a negation needs a positive part beside it")
     frame = frames[0]
     for f in frames[1:]:
-        shared = [c for c in f.columns if c in frame.columns]
-        frame = frame.join(f, shared) if shared else frame.crossJoin(f)
+        frame = _joined(frame, f, product)
     for p in part.parts:
         if isinstance(p, Node) and p.kind == "NOT":
-            inner = evaluate(triples, p.parts[0], counts)
+            inner = evaluate(triples, p.parts[0], counts, product)
             shared = [c for c in inner.columns if c in frame.columns]
             if not shared:
                 raise ValueError("a negation shares no variable with its positive part")
@@ -242,7 +249,8 @@ def _heads(triples: DataFrame, rule: Rule) -> DataFrame:
 def _on_head(bindings: DataFrame, triples: DataFrame, rule: Rule, how: str) -> DataFrame:
     heads = _heads(triples, rule)
     keys = [c for c in heads.columns if c in bindings.columns]
-    return bindings.join(heads, keys, how) if keys else bindings.join(heads, F.lit(True), how)
+    # A head that shares no variable holds for all bindings or for none: one row decides.
+    return bindings.join(heads, keys, how) if keys else bindings.join(heads.limit(1), F.lit(True), how)
 
 
 def verified(bindings: DataFrame, triples: DataFrame, rule: Rule) -> DataFrame:

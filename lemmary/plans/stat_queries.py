@@ -359,7 +359,7 @@ _RANK = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) /
 )
 def spearman(spark: SparkSession, sf: str) -> DataFrame:
     c = b.consistency(spark, sf).select("contradiction_score", "entailment_score")
-    ranked = stats.tied_ranks(stats.tied_ranks(c, "contradiction_score", "x"), "entailment_score", "y")
+    ranked = stats.all_tied_ranks(c, {"contradiction_score": "x", "entailment_score": "y"})
     return ranked.agg(F.round(F.corr("x", "y"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

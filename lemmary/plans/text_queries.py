@@ -210,13 +210,18 @@ def zip_shorter(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("k", F.posexplode(F.slice(z, F.lit(1), F.least(F.size("x"), F.size("y")))).alias("pos", "z")).select("k", "pos", "z.item", "z.answer")
 
 
-@query("J14_same_domain_neighbours", "SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey <> y.c_custkey")
+@query(
+    "J14_same_domain_neighbours",
+    w("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rule, count(*) OVER (PARTITION BY rule) - 1 AS neighbours FROM consistency WHERE qtype <> 'multiple_choice'", "consistency"),
+)
 def same_domain_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """All other rows of each row's domain, a nation and segment: an equi-join with a residual; the pairs are the result."""
-    domain = ["c_nationkey", "c_mktsegment"]
-    c = b.table(spark, sf, "customer")
-    x, y = c.select(F.col("c_custkey").alias("a"), *domain), c.select(F.col("c_custkey").alias("b"), *domain)
-    return x.join(y, domain).filter("a <> b").select("a", "b")
+    """The other rows with each row's rule, multiple choice left out, as membership: rows of one rule are all neighbours of each other.
+
+    A row's neighbours are the rows that name its rule, but for itself; pairs would grow with the square of a rule.
+    """
+    c = b.consistency(spark, sf).filter("qtype <> 'multiple_choice'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rule")
+    sizes = c.groupBy("rule").agg((F.count(F.lit(1)) - 1).alias("neighbours"))
+    return c.join(sizes, "rule")
 
 
 @query("J15_annotators", "SELECT x.o_orderkey AS item, x.o_orderstatus AS first, y.o_orderpriority AS second FROM orders x JOIN orders y ON x.o_orderkey = y.o_orderkey")
@@ -394,12 +399,15 @@ SELECT a.row_index, round(coalesce(k, 0) / m, 6) AS precision, round(coalesce(k,
     ),
 )
 def rouge_1(spark: SparkSession, sf: str) -> DataFrame:
-    """Shared words as multisets over the words of each text."""
-    q = b.qa_pairs(spark, sf)
-    side = lambda c, out: q.select("row_index", F.explode(F.transform(text.words(c), F.lower)).alias("v")).groupBy("row_index", "v").agg(F.count(F.lit(1)).alias(out))
-    both = side("original_llm_answer", "n").join(side("mutated_llm_answer", "m"), ["row_index", "v"], "full")
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    g = both.groupBy("row_index").agg(F.sum(n).alias("n"), F.sum(m).alias("m"), F.sum(F.least(n, m)).alias("k"))
+    """Shared words as multisets over the words of each text.
+
+    Rows are dealt by their index once, before words are made: both groupings find their rows in place.
+    """
+    q = b.qa_pairs(spark, sf).select("row_index", "original_llm_answer", "mutated_llm_answer").repartition("row_index")
+    side = lambda c, first: F.transform(text.words(c), lambda v: F.struct(F.lower(v).alias("v"), F.lit(first).alias("first")))
+    each = q.select("row_index", F.explode(F.concat(side("original_llm_answer", True), side("mutated_llm_answer", False))).alias("w"))
+    both = each.groupBy("row_index", F.col("w.v").alias("v")).agg(F.count_if("w.first").alias("n"), F.count_if(~F.col("w.first")).alias("m"))
+    g = both.groupBy("row_index").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(F.least("n", "m")).alias("k"))
     return g.filter("n > 0 AND m > 0").select("row_index", F.round(F.col("k") / F.col("m"), 6).alias("precision"), F.round(F.col("k") / F.col("n"), 6).alias("recall"))
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lemmary import config
 from lemmary.functions import grammar, text, vectors
 from lemmary.operators import graph, mutate, overlap, resume, sampling, stats
 from lemmary.sources import files, models
@@ -138,6 +139,63 @@ def test_models(spark):
     assert {r.answer for r in models.answer(frame, "prompt", broken).collect()} == {"ERROR: no model"}
 
 
+def test_models_in_parts_and_by_threads(spark):
+    frame = spark.createDataFrame([(f"p{i}",) for i in range(20)], "prompt string").repartition(3)
+
+    def sizes(prompts):
+        return [f"{x}/{len(prompts)}" for x in prompts]
+
+    out = models.answer(frame, "prompt", sizes, size=4, threads=3, per_second=1000, tasks=1).collect()
+    assert {r.answer for r in out} == {f"p{i}/4" for i in range(20)} and all(r.answer.startswith(r.prompt + "/") for r in out)
+    assert models.answer(frame.limit(0), "prompt", sizes, size=4).count() == 0
+    assert models.answer(frame, "prompt", sizes, tasks=2).rdd.getNumPartitions() == 2
+    with pytest.raises(ValueError):
+        models.answer(frame, "prompt", sizes, per_second=5)
+
+
+def test_allowance():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    allowance = models.Allowance(2.0, burst=3, clock=lambda: now[0], sleep=sleep)
+    for _ in range(7):
+        allowance.take()
+    assert slept == [0.5] * 4 and now[0] == 2.0
+    now[0] += 100  # a rest saves no more than the burst
+    for _ in range(4):
+        allowance.take()
+    assert slept == [0.5] * 5
+    for rate, burst in ((0, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            models.Allowance(rate, burst)
+
+
+def test_settings(tmp_path):
+    at = tmp_path / "settings.json"
+    at.write_text('{"filter": {"std_confidence": 0.4, "pca_confidence": 0.8}}')
+    got = config.load(str(at), {"LEMMARY_FILTER__STD_CONFIDENCE": "0.6", "LEMMARY_NAME": "not json", "OTHER": "1"})
+    assert got["filter"] == config.DEFAULTS["filter"] | {"std_confidence": 0.6, "pca_confidence": 0.8} and got["name"] == "not json"
+    assert config.get(got, "sampling.seed") == 42 and config.get(got, "sampling.none", 7) == 7 and "other" not in got
+    assert config.load(str(tmp_path / "none.json"), {}) == config.DEFAULTS
+
+
+def test_split_does_not_depend_on_pieces(spark):
+    frame = spark.createDataFrame([(i, "abc"[i % 7 % 3]) for i in range(300)], "id long, s string")
+    kept = [sorted(map(tuple, sampling.split(frame, ["s"], ["id"], piece=n).collect())) for n in (1, 10, 1000)]
+    assert kept[0] == kept[1] == kept[2]
+
+
+def test_ranks_of_several_columns(spark):
+    rows = [(1.0, 5), (1.0, None), (2.0, 3), (None, 3), (2.0, 3)]
+    got = stats.all_tied_ranks(spark.createDataFrame(rows, "a double, b int"), {"a": "x", "b": "y"})
+    assert sorted(((r.a or 0, r.b or 0, r.x, r.y) for r in got.collect()), key=str) == sorted(
+        [(1.0, 5, 1.5, 4.0), (1.0, 0, 1.5, None), (2.0, 3, 3.5, 2.0), (0, 3, None, 2.0), (2.0, 3, 3.5, 2.0)], key=str
+    )
+
+
 def test_resume(spark):
     done = spark.createDataFrame([(1, "x"), (2, "ERROR: y"), (3, None), (4, "nan")], "k int, a string")
     work = spark.createDataFrame([(i,) for i in range(1, 6)], "k int")

@@ -69,3 +69,13 @@ def test_order_stays_connected():
 def test_quality(triples):
     r = rules.quality(triples, rules.parse_horn("?a p ?b ?b q ?c => ?a r ?c")).first()
     assert (r.body, r.support, r.std_confidence, r.head_coverage) == (3, 1, pytest.approx(1 / 3), 1.0)
+
+
+def test_atoms_without_a_common_variable(triples):
+    atoms = [Atom("?a", "q", "?b"), Atom("?c", "r", "?d")]
+    with pytest.raises(ValueError):
+        rules.match(triples, atoms)
+    assert rows(rules.match(triples, atoms, product=True)) == [("b", "c", "a", "c"), ("x", "y", "a", "c")]
+    free = rules.parse_horn("?a q ?b => ?c r ?d")
+    found = rules.match(triples, list(free.body))
+    assert rules.verified(found, triples, free).count() == 2 and rules.violations(found, triples, free).count() == 0
