@@ -24,6 +24,21 @@ IRREGULAR = {
     "index": "indices", "matrix": "matrices", "vertex": "vertices", "radius": "radii", "nucleus": "nuclei", "stimulus": "stimuli",
     "cactus": "cacti", "focus": "foci", "fungus": "fungi", "alumnus": "alumni",
 }
+#: Nouns that are not counted, and the endings that speak for one, with their weights.
+UNCOUNTABLE = (
+    "information advice knowledge wisdom intelligence love happiness anger fear joy sadness peace freedom democracy justice truth beauty courage "
+    "water air oxygen hydrogen oil gas electricity gold silver iron steel plastic glass wood paper cloth leather cotton wool silk "
+    "bread butter cheese milk coffee tea wine beer rice flour sugar salt pepper meat "
+    "homework research work progress development education training experience practice exercise "
+    "weather climate traffic pollution noise silence darkness light heat cold "
+    "music art literature poetry drama history mathematics physics chemistry biology geography "
+    "money currency cash business trade commerce industry tourism advertising marketing "
+    "furniture equipment machinery luggage baggage clothing jewelry makeup software hardware "
+    "news media propaganda publicity fun luck help time space energy power"
+).split()
+ABSTRACT = r"(ness|ity|tion|sion|ment|ence|ance|ics|ology|ography)$|^.{3,}ing$"
+SUBSTANCE = r"^[a-z]+(ium|ine)$|ware$|^(learning|teaching|training|reading|writing)$"
+UNCOUNTABLE_WEIGHTS = (0.9, 0.6, 0.2)
 #: Endings and what a plural makes of them, in this order.
 FOREIGN = [("us", "i"), ("is", "es"), ("on", "a"), ("um", "a"), ("ex", "ices"), ("ix", "ices")]
 WH_WORDS = ["what", "who", "whom", "whose", "which", "when", "where", "why", "how"]
@@ -98,6 +113,17 @@ def _irregular(x: Column, table: dict[str, str], otherwise: Column) -> Column:
     return F.when(at > 0, F.get(F.array(*[F.lit(v) for v in table.values()]), at - 1)).otherwise(otherwise)
 
 
+def countability(x: Column) -> Column:
+    """struct(uncountable, confidence): weights of the list, an ending of abstract nouns, subjects or activities and one of substances, summed up to 1.
+
+    More than half is uncountable; an empty or null word is countable with confidence 0.
+    """
+    t = F.lower(strip(F.coalesce(x, F.lit(""))))
+    signs = (t.isin(UNCOUNTABLE), t.rlike(ABSTRACT), t.rlike(SUBSTANCE))
+    total = sum((F.when(sign, F.lit(weight)).otherwise(F.lit(0.0)) for sign, weight in zip(signs, UNCOUNTABLE_WEIGHTS, strict=True)), F.lit(0.0))
+    return F.struct((total > 0.5).alias("uncountable"), F.round(F.least(total, F.lit(1.0)), 6).alias("confidence"))
+
+
 def tense(x: Column) -> Column:
     """"time aspect": past, present, future or future-in-past by the auxiliary; simple, continuous, perfect or perfect continuous by what follows."""
     t = F.lower(strip(x))

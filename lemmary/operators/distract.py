@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemmary.functions import grammar
+from lemmary.operators import questions
+
 #: Relations that hold in both directions, and relations with their inverses.
 SYMMETRIC = ["P3373", "P451", "P1327", "P2350"]
 INVERSES = {
@@ -19,6 +22,12 @@ INVERSES = {
 #: Inverse pairs whose negation is unsafe.
 UNSAFE_PAIRS = [("P2673", "P2674"), ("P3729", "P3730"), ("P22", "P40"), ("P25", "P40"), ("P131", "P150"), ("P155", "P156"), ("P361", "P527")]
 
+#: Relations with a wording of their own when negated, and the one for labels that name a border.
+NEGATED_RELATIONS = {
+    "P2673": "not the next crossing downstream from", "P2674": "not the next crossing upstream from", "P22": "not the father of", "P25": "not the mother of",
+}
+NEGATED_BORDER = "not connected to"
+
 
 def triple(s: Column, p: Column, o: Column) -> Column:
     return F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
@@ -107,3 +116,22 @@ def negation_safe(head_p: Column, body_ps: Column) -> Column:
     for a, b in pairs.items():
         unsafe = F.when(head_p == a, F.array_contains(body_ps, b)).otherwise(unsafe)
     return ~unsafe
+
+
+def negated_conclusion(p: Column, subject: Column, label: Column, obj: Column, premises: Column) -> Column:
+    """A false statement from a conclusion: relation p, labels of its three parts, relations of the premises.
+
+    With the inverse relation among the premises a negation would hold, so the
+    positive statement has its ends swapped; then come relations with a wording
+    of their own, then labels that name a border, then the grammatical negation.
+    Null labels give null.
+    """
+    special = F.lit(None).cast("string")
+    for relation, words in NEGATED_RELATIONS.items():
+        special = F.when(p == relation, F.lit(words)).otherwise(special)
+    special = F.coalesce(special, F.when(F.contains(F.lower(label), F.lit("border")), F.lit(NEGATED_BORDER)))
+    return (
+        F.when(~negation_safe(p, premises), questions.statement(obj, label, subject))
+        .when(special.isNotNull(), questions.statement(subject, special, obj))
+        .otherwise(grammar.negate(questions.statement(subject, label, obj)))
+    )

@@ -12,7 +12,7 @@ from lemmary.plans import rules
 from lemmary.plans.bindings import with_views as w
 from lemmary.plans.mutation_queries import _kind_sql
 from lemmary.plans.registry import query
-from lemmary.plans.text_queries import _through, answers
+from lemmary.plans.text_queries import _list, _through, answers
 from lemmary.sources import files
 
 
@@ -120,6 +120,21 @@ def grammar_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select("label", grammar.grammar_shape(F.col("label")).alias("g")).select("label", "g.*")
 
 
+_CORE, _ABSTRACT, _SUBSTANCE = f"list_contains({_list(grammar.UNCOUNTABLE)}, v)", f"regexp_matches(v, '{grammar.ABSTRACT}')", f"regexp_matches(v, '{grammar.SUBSTANCE}')"
+
+
+@query(
+    "N3_countability",
+    f"""SELECT v, s > 0.5 AS uncountable, round(least(s, 1.0), 6) AS confidence FROM (SELECT v, (CASE WHEN {_CORE} THEN 0.9 ELSE 0 END + CASE WHEN {_ABSTRACT} THEN 0.6 ELSE 0 END + CASE WHEN {_SUBSTANCE} THEN 0.2 ELSE 0 END)::DOUBLE AS s FROM (
+SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS v FROM documents UNION SELECT unnest({_list([*grammar.UNCOUNTABLE, "kindness", "sing", "learning", "ing", "helium", "machine", "hardware", "nation"])}))) ORDER BY v""",
+)
+def countability(spark: SparkSession, sf: str) -> DataFrame:
+    """Each distinct word of the documents, beside the listed ones."""
+    found = b.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("v"))
+    listed = spark.createDataFrame([(v,) for v in [*grammar.UNCOUNTABLE, "kindness", "sing", "learning", "ing", "helium", "machine", "hardware", "nation"]], "v string")
+    return found.unionByName(listed).distinct().select("v", grammar.countability(F.col("v")).alias("x")).select("v", "x.*")
+
+
 @query("N11_sentence_analysis")
 def sentence_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select("k", grammar.analysis(F.col("a")).alias("x")).select("k", "x.*")

@@ -384,6 +384,26 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("s", "o", said.alias("statement"))
 
 
+@query(
+    "D3_conclusion_negation",
+    w(
+        """SELECT s, p, o, CASE p WHEN 'P361' THEN concat(lo, ' part of ', ls) WHEN 'P17' THEN concat(ls, ' not connected to ', lo) WHEN 'P98' THEN concat(ls, ' not the father of ', lo)
+ELSE concat('It is not true that ', lower(concat(ls, ' continent ', lo))) END AS negated FROM (SELECT t.*, coalesce(es.label, s) AS ls, coalesce(eo.label, o) AS lo
+FROM triples t LEFT JOIN entities es ON es.id = s LEFT JOIN entities eo ON eo.id = o WHERE p IN ('P361', 'P17', 'P98', 'P30'))""",
+        "triples",
+        "entities",
+    ),
+)
+def conclusion_negation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each way to negate a conclusion: P361 beside its inverse P527, a border's label on P17, a relation with its own wording (P22 for P98), the others."""
+    t, e = b.triples(spark, sf).filter(F.col("p").isin("P361", "P17", "P98", "P30")), b.entities(spark, sf)
+    t = graph.label(graph.label(t, e, "s", "ls"), e, "o", "lo")
+    label = F.when(F.col("p") == "P361", F.lit("part of")).when(F.col("p") == "P17", F.lit("shares Border with")).when(F.col("p") == "P98", F.lit("father")).otherwise(F.lit("continent"))
+    relation = F.when(F.col("p") == "P98", F.lit("P22")).otherwise(F.col("p"))
+    premises = F.array(F.lit("P527"), F.lit("P131"))
+    return t.select("s", "p", "o", distract.negated_conclusion(relation, F.col("ls"), label, F.col("lo"), premises).alias("negated"))
+
+
 @query("D3_negated_conclusions", w(f"SELECT instance_id, concat('It is not true that ', lower({_CONCLUSION})) AS negated FROM {_LABELLED}", "triples", "entities"))
 def negated_conclusions(spark: SparkSession, sf: str) -> DataFrame:
     from lemmary.functions import grammar
