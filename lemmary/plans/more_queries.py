@@ -12,7 +12,7 @@ from lemmary.plans import rules
 from lemmary.plans.bindings import with_views as w
 from lemmary.plans.mutation_queries import _kind_sql
 from lemmary.plans.registry import query
-from lemmary.plans.text_queries import _list, _through, answers
+from lemmary.plans.text_queries import _list, _s, _through, _w, answers
 from lemmary.sources import files
 
 
@@ -91,7 +91,14 @@ def premise_split(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select("k", text.split_premise(t).alias("x")).select("k", "x.premise", "x.main")
 
 
-@query("C38_answer_spans")
+@query(
+    "C38_answer_spans",
+    w(
+        f"""SELECT k, unnest(list_distinct(list_transform(list_concat(regexp_extract_all(a, '(\\b\\p{{Lu}}\\w*(?:\\s+\\p{{Lu}}\\w*)*)', 1),
+list_concat(regexp_extract_all(a, '"([^"]+)"', 1), regexp_extract_all(a, '\\(([^)]+)\\)', 1))), lambda v: {_s("v")}))) AS span FROM answers""",
+        "answers",
+    ),
+)
 def answer_spans(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select("k", F.explode(text.answer_spans("a")).alias("span"))
 
@@ -135,14 +142,38 @@ def countability(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(listed).distinct().select("v", grammar.countability(F.col("v")).alias("x")).select("v", "x.*")
 
 
-@query("N11_sentence_analysis")
+_AUXILIARY = "is|are|was|were|do|does|did|has|have|can|will|would"
+
+
+@query(
+    "N11_sentence_analysis",
+    w(
+        f"""SELECT k, CASE WHEN ends_with(t, '?') AND regexp_matches(t, ',\\s*({_AUXILIARY})(n''t)?\\s+\\w+\\?$') THEN 'tag' WHEN ends_with(t, '?') AND coalesce(list_contains({_list(grammar.WH_WORDS)}, v[1]), false) THEN 'wh'
+WHEN ends_with(t, '?') AND contains(t, ' or ') THEN 'choice' WHEN ends_with(t, '?') THEN 'yes_no' WHEN ends_with(t, '!') THEN 'exclamation' ELSE 'statement' END AS kind,
+CASE WHEN regexp_matches(lower(a), '\\b(not|no|never|none|neither|nor|nothing|nobody)\\b|n''t\\b') THEN 'negative' ELSE 'positive' END AS polarity,
+concat(CASE WHEN regexp_matches(t, '\\b(would|should)\\b') THEN 'future-in-past' WHEN regexp_matches(t, '\\b(will|shall)\\b') THEN 'future'
+WHEN regexp_matches(t, '\\b(was|were|had|did)\\b') OR (NOT regexp_matches(string_split(t, chr(10))[1], '\\b(have|has)\\b') AND regexp_matches(string_split(t, chr(10))[1], '\\b[a-z]{{3,}}ed\\b')) THEN 'past' ELSE 'present' END, ' ',
+CASE WHEN regexp_matches(t, '\\b(have|has|had)\\s+been\\s+\\w+ing\\b') THEN 'perfect continuous' WHEN regexp_matches(t, '\\b(have|has|had)\\s+\\w+(ed|en|n|t)\\b') THEN 'perfect'
+WHEN regexp_matches(t, '\\b(am|is|are|was|were|be)\\s+\\w+ing\\b') THEN 'continuous' ELSE 'simple' END) AS tense, len(v) AS words FROM (SELECT k, a, lower({_s("a")}) AS t, {_w("lower(a)")} AS v FROM answers)""",
+        "answers",
+    ),
+)
 def sentence_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select("k", grammar.analysis(F.col("a")).alias("x")).select("k", "x.*")
 
 
-@query("N15_statements")
+@query(
+    "N15_statements",
+    w(
+        f"""SELECT k, CASE WHEN starts_with(lower(s), 'no') THEN 'it is not true' WHEN starts_with(lower(s), 'yes') THEN 'it Is true' ELSE 'Is it true' END AS yes_no,
+CASE WHEN starts_with(lower(s), 'no') THEN 'It is not true that which town lies there' WHEN starts_with(lower(s), 'yes') THEN 'Which town lies there' ELSE concat(s, ' lies there') END AS wh FROM (SELECT k, {_s("a")} AS s FROM answers)""",
+        "answers",
+    ),
+)
 def statements(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf).select("k", grammar.statement_of(F.lit("Is it true?"), F.col("a")).alias("yes_no"), grammar.statement_of(F.lit("Who lives here?"), F.lit("Bob")).alias("wh"))
+    """A question of either form with each answer made a statement."""
+    said = lambda q: grammar.statement_of(F.lit(q), F.col("a"))
+    return answers(spark, sf).select("k", said("Is it true?").alias("yes_no"), said("Which town lies there?").alias("wh"))
 
 
 @query("N16_paraphrases", w("SELECT k, CASE WHEN contains(a, 'is it true that') THEN replace(a, 'is it true that', 'is it the case that') ELSE a END AS t FROM answers", "answers"))
