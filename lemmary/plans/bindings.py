@@ -34,7 +34,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     fact = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
     customer, nation, orders, item = t("customer"), t("nation"), t("orders"), t("lineitem")
-    by_customer = customer.filter("c_custkey % 3 <> 0").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    by_customer = customer.filter("c_custkey % 3 <> 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     parts = [
         fact(customer, qid(1, "c_custkey"), "P17", qid(2, "c_nationkey")),
         fact(t("supplier"), qid(4, "s_suppkey"), "P17", qid(2, "s_nationkey")),

@@ -278,7 +278,7 @@ def inverse_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Inverse and symmetry of every predicate, from a dimension of a few rows."""
     pairs = dict(distract.UNSAFE_PAIRS) | {c: a for a, c in distract.UNSAFE_PAIRS} | distract.INVERSES
     table = spark.createDataFrame(sorted(pairs.items()), "p string, inverse string")
-    found = b.triples(spark, sf).select("p").distinct().join(F.broadcast(table), "p", "left")
+    found = b.triples(spark, sf).select("p").distinct().join(table, "p", "left")
     return found.select("p", "inverse", F.col("p").isin(distract.SYMMETRIC).alias("symmetric"))
 
 
