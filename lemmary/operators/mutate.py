@@ -45,20 +45,37 @@ def _table(rows: Iterable[tuple[int, ...]]) -> Column:
     return F.from_json(F.lit(json.dumps([list(r) for r in rows])), "array<array<int>>")
 
 
-def permute(instances: DataFrame, places: int = 6, limit: int = LIMIT) -> DataFrame:
+def permute(instances: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Other orders of the body, lexicographic by position, the first ten that differ in value. Bodies of any length.
 
-    The first orders move the last few atoms only: orders of the last ``places``
-    are tried, 720 of them, so a body that ends in six equal atoms has none.
+    The first orders move the last four atoms only, and of four atoms that are
+    not all equal 18 orders at least differ from the body. If more than three
+    equal atoms end the body, the first orders that differ have one of them in
+    the place of the atom before them; the last four then take all their orders.
+    Orders are exploded as places in the last four atoms, and written out after.
     """
-    body, n = F.col("body"), F.size("body")
-    moved = F.least(n, F.lit(places))
-    out = F.array().cast("array<array<int>>")
-    for k in range(2, places + 1):
-        out = F.when(moved == k, _table(permutations(range(k)))).otherwise(out)
-    order = lambda p: F.concat(F.slice(body, F.lit(1), n - moved), F.transform(p, lambda i: F.get(body, n - moved + i)))
-    orders = F.filter(F.transform(out, order), lambda x: x != body)
-    return _expanded(instances, F.transform(F.slice(orders, 1, limit), lambda x: atoms(x)))
+    if limit > 18:
+        raise ValueError("the last four atoms have 18 other orders for certain")
+    n = F.size("body")
+    alike = (n > 4) & (F.size(F.array_distinct(F.slice("body", n - 3, 4))) == 1)
+    other = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(~F.get("body", i).eqNullSafe(F.get("body", n - 1)), i)))
+    marked = instances.filter(n > 1).select("instance_id", "body", atom(F.col("head")).alias("expected_head"), F.when(alike, other).alias("_at"))
+    at = F.col("_at")
+    traded = F.concat(F.slice("body", F.lit(1), at), F.array(F.get("body", at + 1), F.get("body", at)), F.slice("body", at + 3, n))
+    body = marked.withColumn("body", F.when(at.isNull(), F.col("body")).otherwise(traded))
+    k = F.least(n, F.lit(4))
+    parts = body.select(
+        "instance_id", "expected_head", at.isNotNull().alias("_all"), F.slice("body", n - k + 1, k).alias("_tail"),
+        F.when(n > 4, atoms(F.slice("body", F.lit(1), n - 4))).alias("_front"),
+    )
+    k = F.size("_tail")
+    table = F.when(k == 2, _table(permutations(range(2)))).when(k == 3, _table(permutations(range(3)))).otherwise(_table(permutations(range(4))))
+    differs = lambda p: F.transform(p, lambda i: F.get("_tail", i)) != F.col("_tail")
+    plain = F.size(F.array_distinct("_tail")) == k
+    orders = F.when(F.col("_all"), table).when(plain, F.slice(table, 2, limit)).otherwise(F.filter(table, differs))
+    said = parts.select("instance_id", "expected_head", "_front", F.transform("_tail", atom).alias("_said"), F.posexplode(F.slice(orders, 1, limit)).alias("idx", "_order"))
+    words = [F.get("_said", F.get("_order", F.lit(j))) for j in range(4)]  # null beyond a shorter body, and skipped
+    return said.select("instance_id", "idx", F.concat_ws(JOIN, "_front", *words).alias("mutated_body"), "expected_head")
 
 
 def reduce_body(instances: DataFrame, limit: int = LIMIT) -> DataFrame:

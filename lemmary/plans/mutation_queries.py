@@ -64,10 +64,10 @@ def body_reduction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def long_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """An instance with a body of 2 to 14 atoms for each part."""
+    """An instance with a body of 2 to 14 atoms for each part; dealt anew, as parts are few bytes in few pieces and their mutants many."""
     n, id_ = F.expr("CAST(2 + p_partkey % 13 AS INT)"), F.col("p_partkey").cast("string")
     atom = lambda i: F.struct(F.concat(F.lit("?v"), i.cast("string")).alias("s"), F.concat(F.lit("P"), (i * 7 % 5).cast("string")).alias("p"), F.concat(F.lit("Q"), id_).alias("o"))
-    part = b.table(spark, sf, "part")
+    part = b.table(spark, sf, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return part.select(id_.alias("instance_id"), F.transform(F.sequence(F.lit(0), n - 1), atom).alias("body"), F.struct(F.lit("?v0").alias("s"), F.lit("P9").alias("p"), F.lit("?v1").alias("o")).alias("head"))
 
 

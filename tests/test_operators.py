@@ -1,4 +1,5 @@
 import math
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,16 @@ def test_mutants_of_sizes(spark):
     assert sizes(mutate.merge_halves(frame)) == {"2": 1, "3": 1, "4": 1, "dup": 1}
 
 
+def test_orders_of_bodies_of_any_length_and_equal_atoms(spark):
+    bodies = ["", "a", "ab", "aa", "aab", "aba", "baa", "abcd", "baaa", "aaab", "aabb", "xaaaa", "xabcc", "abcde", "xaaaaa", "xyaaaaaa", "aaaaaaa", "xyaaaab"]
+    want = {b: ["   ".join(f"{x} p o" for x in q) for q in permutations(b) if list(q) != list(b)][:10] for b in bodies}
+    atom = lambda x: {"s": x, "p": "p", "o": "o"}
+    schema = "instance_id string, body array<struct<s:string,p:string,o:string>>, head struct<s:string,p:string,o:string>"
+    frame = spark.createDataFrame([(b, [atom(x) for x in b], atom("h")) for b in bodies], schema)
+    got = sorted((r.instance_id, r.idx, r.mutated_body) for r in mutate.permute(frame).collect())
+    assert got == sorted((b, i, x) for b, found in want.items() for i, x in enumerate(found))
+
+
 def test_text(spark):
     v = lambda c: value(spark, c)
     assert v(text.standard_label(F.lit("the house OF cards"))) == "The House of Cards"
