@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +57,8 @@ def split(frame: DataFrame, strata: Sequence[str], key: Sequence[str], shares: t
     the hash, and the rank among those with the same ones. There are as many
     digits as cut all rows into pieces of ``piece`` rows or fewer on average, so
     no task sorts more of a stratum, however large its share; the result is the
-    same for any number.
+    same for any number. Shares count as the decimals that they are written as:
+    0.7 of 90 rows are 63, as a binary fraction 62. Null is a stratum too.
     """
     by = list(strata)
     digits = 1
@@ -68,8 +70,10 @@ def split(frame: DataFrame, strata: Sequence[str], key: Sequence[str], shares: t
     lower = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({"_f": F.coalesce(F.sum("_k").over(lower), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))}).drop("_k")
     inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_o", *key))
-    placed = keyed.withColumn("_i", inside).join(offsets, [*by, "_b"]).withColumn("_r", F.col("_f") + F.col("_i"))
-    a, b = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * shares[1])
+    sizes = offsets.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*by, "_b"])], "_f", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*by, "_b"])]
+    placed = keyed.withColumn("_i", inside).join(sizes, same).withColumn("_r", F.col("_f") + F.col("_i"))
+    a, b = (F.floor(F.col("_n") * F.lit(Decimal(str(x)))) for x in shares)
     name = F.when(F.col("_r") <= a, F.lit("train")).when(F.col("_r") <= a + b, F.lit("validation")).otherwise(F.lit("test"))
     return placed.withColumn("split", name).select(*frame.columns, "split")
 

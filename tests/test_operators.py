@@ -199,6 +199,12 @@ def test_split_does_not_depend_on_pieces(spark):
     assert kept[0] == kept[1] == kept[2]
 
 
+def test_split_counts_decimal_shares_and_null_strata(spark):
+    frame = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(180)], "id long, s string")
+    counts = {(r.s, r.split): r["count"] for r in sampling.split(frame, ["s"], ["id"]).groupBy("s", "split").count().collect()}
+    assert counts == {(s, name): n for s in ("a", None) for name, n in (("train", 63), ("validation", 13), ("test", 14))}
+
+
 def test_ranks_of_several_columns(spark):
     rows = [(1.0, 5), (1.0, None), (2.0, 3), (None, 3), (2.0, 3)]
     got = stats.all_tied_ranks(spark.createDataFrame(rows, "a double, b int"), {"a": "x", "b": "y"})
