@@ -409,6 +409,49 @@ def test_passage_whose_parts_stand_in_earlier_texts(spark):
     assert found == set(pairs) and len(out) == len(pairs)
 
 
+def brute_alike(a, b, n=50, identity=0.8):
+    """Whether some n or more words of a, moved along, equal those of b in a share of ``identity``."""
+    for shift in range(n - len(b), len(a) - n + 1):
+        lo, hi = max(0, shift), min(len(a), len(b) + shift)
+        gain = np.r_[0, np.cumsum((np.array(a[lo:hi]) == np.array(b[lo - shift : hi - shift])) - identity)]
+        low = np.minimum.accumulate(gain)
+        if (gain[n:] >= low[: len(gain) - n] - 1e-9).any():
+            return True
+    return False
+
+
+def test_no_pair_is_lost_between_many_holders(spark):
+    """Texts with changed passages whose parts stand in 70 and in 20 other texts: all pairs, as brute force has them."""
+    rng = random.Random(31)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    texts = []
+    for copies, changed in ((70, 4), (20, 5)):
+        p = some(64)
+        for _ in range(copies):
+            texts += [some(12) + p[:33] + some(12), some(12) + p[31:] + some(12)]
+        for _ in range(6):
+            q = list(p)
+            for j in rng.sample(range(64), changed):
+                q[j] = some(1)[0]
+            texts.append(some(15) + q + some(15))
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if set(texts[i]) & set(texts[j]) and brute_alike(texts[i], texts[j])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(max(r.doc_id, r.other_id), min(r.doc_id, r.other_id)) for r in chaining.repeated_passages(docs).collect()}
+    assert got == want and len(want) >= 30
+
+
+def test_dense_places_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        x = np.array(sorted(rng.sample(range(150), rng.randrange(0, 40))), np.int64)
+        want = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                if j - i + 1 >= max(7, 0.2 * (x[j] - x[i] + 4) - 3 - 1e-9):
+                    want[i : j + 1] = True
+        assert chaining.dense(x, 50, 0.8).tolist() == want.tolist()
+
+
 def test_run_hashes():
     words = np.random.default_rng(5).integers(0, 1 << 32, 200).astype(np.uint32)
     for run in (1, 2, 7, 50):
