@@ -2,8 +2,9 @@
 
 A word and its prefixes are hashed into two embedding tables whose rows are
 added; filters of several widths slide over the words, the largest response of each filter over
-the whole text is kept, and a logistic layer scores it. Training takes a bounded
-sample of labelled rows on the driver; scoring is a narrow map over whole texts.
+the whole text is kept, and a logistic layer scores it. Training takes all
+labelled rows, in blocks on the executors whose weights are averaged; scoring is
+a narrow map over whole texts.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from lemmary.llm.chunks import rounds
-from lemmary.llm.common import fold_of, text_of
+from lemmary.llm.common import fold_of, text_of, written
 
 WORD = re.compile(r"\w+")
 TABLE_BITS = 15
 KNOWN_BITS = 22
 WIDTHS = (1, 2, 3)
 CACHE = 200_000
+#: Labelled rows that are trained on in one go, and tasks that train at once: each sends its weights to the driver.
+BLOCK, TASKS = 8192, 16
+#: Passes over all rows; with more than one block, weights are averaged after every LOCAL of them.
+EPOCHS, LOCAL = 12, 3
+#: Weights are added up as whole numbers of this, so the sum does not depend on the order of blocks.
+UNIT = 2.0**-40
 
 
 #: Lengths of the prefixes that a word's embedding also sums, so inflected forms share what their stem learned.
@@ -142,42 +149,54 @@ def gradient(model: ToxicityModel, flat: np.ndarray, starts: np.ndarray, y: np.n
     return loss, grads, float(d.sum())
 
 
-def train_model(
-    texts: list[str], labels: list[int], dim: int = 8, filters: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.02,
-    min_docs: int = 3, decay: float = 1e-4, seed: int = 13,
-) -> ToxicityModel:
-    """Fit by Adam on the logistic loss; gradients reach the words at each filter's largest response.
-
-    Without both labels the score is the share of label 1 (0 without rows).
-    """
+def new_model(share: float, dim: int = 8, filters: int = 8, seed: int = 13) -> ToxicityModel:
+    """Random weights, no known words; without both labels the score is ``share``, that of label 1."""
     rng = np.random.default_rng(seed)
     n_out = len(WIDTHS) * filters
     tables = rng.normal(0, 0.1, (2, 1 << TABLE_BITS, dim)).astype(np.float32)
     weights = [rng.normal(0, 0.5, (k, dim, filters)).astype(np.float32) for k in WIDTHS]
     bias = np.zeros((len(WIDTHS), filters), np.float32)
     out = rng.normal(0, 0.3, n_out).astype(np.float32)
-    share = sum(labels) / len(labels) if labels else 0.0
     model = ToxicityModel(tables, np.zeros(1 << (KNOWN_BITS - 3), np.uint8), weights, bias, out, 0.0)
     if share in (0.0, 1.0):
         model.out[:] = 0
         model.out_bias = -40.0 if share == 0 else 40.0
-        return model
-    model.out_bias = float(np.log(share / (1 - share)))
+    else:
+        model.out_bias = float(np.log(share / (1 - share)))
+    return model
+
+
+def numbered_words(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(word numbers of each text, features of each number); 0 is padding."""
     index: dict[str, int] = {"": 0}
     docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
-    hashes = features_of(list(index))
+    return docs, features_of(list(index))
+
+
+def documents_of_features(docs: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, number of documents that hold it)."""
     unique, place = np.unique(hashes, return_inverse=True)
     place = place.reshape(hashes.shape)
     seen = np.zeros(len(unique), np.int64)
     for d in docs:
         seen[np.unique(place[np.unique(d)])] += 1
-    often = (unique[(seen >= min_docs) & (unique != 0)] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
-    np.bitwise_or.at(model.known, often >> 3, (1 << (often & 7)).astype(np.uint8))
+    return unique[unique != 0], seen[unique != 0]
+
+
+def mark_known(model: ToxicityModel, places: np.ndarray) -> None:
+    """Mark the upper KNOWN_BITS bits of features as seen often enough."""
+    np.bitwise_or.at(model.known, places >> 3, (1 << (places & 7)).astype(np.uint8))
     model.known[0] &= 0xFE  # padding and absent prefixes are never known
+
+
+def train(
+    model: ToxicityModel, docs: list[np.ndarray], hashes: np.ndarray, y: np.ndarray, epochs: int, seed: int, batch: int = 64, rate: float = 0.02, decay: float = 1e-4
+) -> None:
+    """Passes of Adam on the logistic loss from the model's weights on; gradients reach the words at each filter's largest response."""
+    rng = np.random.default_rng(seed)
     params = [model.tables, *model.filters, model.bias, model.out]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
-    y = np.array(labels, np.float32)
     step, pad = 0, np.zeros(PAD, np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -196,9 +215,92 @@ def train_model(
                 v *= 0.99
                 v += 0.01 * g * g
                 p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
+
+
+def train_model(texts: list[str], labels: list[int], dim: int = 8, filters: int = 8, epochs: int = EPOCHS, min_docs: int = 3, seed: int = 13) -> ToxicityModel:
+    """Fit to texts at hand. Without both labels the score is the share of label 1 (0 without rows)."""
+    share = sum(labels) / len(labels) if labels else 0.0
+    model = new_model(share, dim, filters, seed)
+    if share not in (0.0, 1.0):
+        docs, hashes = numbered_words(texts)
+        found, seen = documents_of_features(docs, hashes)
+        mark_known(model, (found[seen >= min_docs] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64))
+        train(model, docs, hashes, np.array(labels, np.float32), epochs, seed)
     return model
 
 
+def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """One row for each block of labelled rows (id, t, y): word numbers, sizes, features and labels as bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = sorted((word_hash(str(i)), str(i), t, y) for i, t, y in zip(*[table.column(c).to_pylist() for c in ("id", "t", "y")], strict=True))
+        docs, hashes = numbered_words([r[2] for r in at])
+        parts = [np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs], np.int32), hashes, np.array([r[3] for r in at], np.float32)]
+        return pa.table({"block": table.column("block")[:1], **{n: pa.array([p.tobytes()], pa.binary()) for n, p in zip(("words", "sizes", "hashes", "y"), parts, strict=True)}})
+
+    dealt = rows.select("id", "t", "y", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)).alias("block"))
+    return written(dealt.groupBy("block").applyInArrow(run, "block long, words binary, sizes binary, hashes binary, y binary"), "toxic-blocks")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, words, sizes, hashes, y = (c[i].as_py() for c in batch.columns)
+            docs = np.split(np.frombuffer(words, np.int32).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+            yield block, docs, np.frombuffer(hashes, np.uint64).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(y, np.float32)
+
+
+def train_blocks(rows: DataFrame, n: int, share: float, min_docs: int = 3, seed: int = 13) -> ToxicityModel:
+    """Fit to all ``n`` rows (id, t, y), of which a share has label 1.
+
+    Each block trains from the common weights; after LOCAL passes the mean of
+    the blocks' changes is added to them, for a table's row the mean over the
+    blocks that changed it. One block is trained in one go. What reaches the
+    driver is bounded by the weights, TASKS of them, and the bits of known words.
+    """
+    model = new_model(share, seed=seed)
+    if share in (0.0, 1.0):
+        return model
+    n_blocks = -(-n // BLOCK)
+    blocks = _blocks(rows, n_blocks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs, hashes, _ in _opened(batches):
+            found, seen = documents_of_features(docs, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(seen)], ["h", "n"])
+
+    often = blocks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    places = often.select(F.shiftrightunsigned("h", 64 - KNOWN_BITS).cast("int").alias("at")).distinct().toArrow()
+    mark_known(model, places.column("at").to_numpy().astype(np.int64))
+    epochs = EPOCHS if n_blocks == 1 else LOCAL
+    for turn in range(EPOCHS // epochs):
+        sums = blocks.coalesce(TASKS).mapInArrow(lambda batches, m=model, e=epochs, r=turn: _changes(m, batches, e, seed + 1000 * r), "changes binary, touched binary, n long").toArrow()
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in sums.column("changes"))
+        touched = sum(np.frombuffer(x.as_py(), np.int64) for x in sums.column("touched"))
+        done = sum(sums.column("n").to_pylist())
+        params = [model.tables, *model.filters, model.bias, model.out]
+        parts = np.split(total[:-1] * UNIT, np.cumsum([p.size for p in params])[:-1])
+        for p, part in zip(params, parts, strict=True):
+            by = np.maximum(touched, 1).reshape(2, -1, 1) if p is model.tables else done
+            p += (part.reshape(p.shape) / by).astype(np.float32)
+        model.out_bias += float(total[-1] * UNIT / done)
+    return model
+
+
+def _changes(model: ToxicityModel, batches: Iterator[pa.RecordBatch], epochs: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Sum of the changes of all weights by the blocks of a task, blocks that changed each row of the tables, number of blocks."""
+    total, touched, n = 0, np.zeros((2, 1 << TABLE_BITS), np.int64), 0
+    flat = lambda m: np.concatenate([*[p.ravel().astype(np.float64) for p in (m.tables, *m.filters, m.bias, m.out)], [m.out_bias]])
+    for block, docs, hashes, y in _opened(batches):
+        own = ToxicityModel(model.tables.copy(), model.known, [f.copy() for f in model.filters], model.bias.copy(), model.out.copy(), model.out_bias)
+        train(own, docs, hashes, y, epochs, seed + block)
+        total = total + np.rint((flat(own) - flat(model)) / UNIT).astype(np.int64)
+        touched += (own.tables != model.tables).any(axis=2)
+        n += 1
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([touched.ravel().tobytes()], pa.binary()), pa.array([n])], ["changes", "touched", "n"])
+
+
 class Scorer:
     """Scores batches of texts; responses of words are kept in a bounded cache."""
 
@@ -256,45 +358,37 @@ def calibrate(model: ToxicityModel, scores: np.ndarray, labels: np.ndarray, lang
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 1500, negatives: int = 3000, id_column: str = "doc_id", text_column: str = "text",
-    lang_column: str = "lang",
+    docs: DataFrame, labels: DataFrame, folds: int = 5, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
 ) -> ToxicityModel:
-    """Train on at most ``positives`` + ``negatives`` labelled rows outside fold 0, whole texts of any length.
-
-    A quarter of the sample calibrates the thresholds. The sample is the first
-    rows by a hash of the id, so it does not depend on partitions. Rows with a
-    null label or id are skipped; of repeated labels of one id the largest counts,
-    of repeated rows of one id the smallest text. Ids are of any type. Without
-    documents, or without labels for them, every score is 0.
+    """Train on all labelled rows outside fold 0, whole texts of any length.
+
+    A quarter of them by a hash of the id calibrates the thresholds instead, all
+    of its scores. Rows with a null label or id are skipped; of repeated labels
+    of one id the largest counts, of repeated rows of one id the smallest text.
+    Ids are of any type; the result does not depend on partitions. Without
+    documents, or without labels for them, every score is 0. Scores, labels and
+    languages of the calibration rows are gathered on the driver, a few bytes each.
     """
     marks = (
-        labels.filter("toxic IS NOT NULL").select(F.col(f"`{id_column}`").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .filter(fold_of("doc_id", folds) != 0)
+        labels.filter("toxic IS NOT NULL").select(F.col(f"`{id_column}`").alias("id"), (F.col("toxic").cast("int") > 0).cast("int").alias("y")).filter("id IS NOT NULL")
+        .groupBy("id").agg(F.max("y").alias("y"))
+        .filter(fold_of("id", folds) != 0)
     )
-    order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    ids = [
-        (r.doc_id, y)
-        for y, most in ((1, positives), (0, negatives))
-        for r in marks.filter((F.col("toxic") > 0) == bool(y)).orderBy(*order).limit(most).select("doc_id").collect()
-    ]
-    if not ids:
-        return train_model([], [])
-    schema = StructType([StructField("id", marks.schema["doc_id"].dataType), StructField("y", IntegerType())])
-    sample = docs.sparkSession.createDataFrame(ids, schema)  # bounded by positives + negatives
     lang = F.col(f"`{lang_column}`").cast("string") if lang_column in docs.columns else F.lit(None).cast("string")
     rows = (
-        docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("t"), lang.alias("lang")).join(F.broadcast(sample), "id")
-        .groupBy("id").agg(F.min(F.struct("t", "lang", "y")).alias("r")).select("id", "r.*").collect()
+        docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("t"), lang.alias("lang")).join(marks, "id")
+        .groupBy("id").agg(F.min(F.struct("t", "lang", "y")).alias("r")).select("id", "r.*", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0).alias("held"))
     )
-    rows.sort(key=lambda r: (word_hash(str(r.id)), str(r.id)))
-    part = len(rows) // 4
-    fitted, held = rows[part:], rows[:part]
-    model = train_model([r.t for r in fitted], [r.y for r in fitted])
-    if held:
-        scorer = Scorer(model)
-        scores = np.concatenate([scorer.score([r.t for r in held[a : a + 200]]) for a in range(0, len(held), 200)])
-        calibrate(model, scores, np.array([r.y for r in held]), [r.lang for r in held])
+    rows = written(rows, "toxic-rows")
+    sizes = {r.held: (r.n, r.y) for r in rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
+    if not sizes:
+        return train_model([], [])
+    fitted = min(sizes)  # all of a few rows may be in the quarter
+    n, y = sizes[fitted]
+    model = train_blocks(rows.filter(F.col("held") == fitted), n, y / n)
+    if True in sizes and not fitted:
+        scored = score_documents(rows.filter("held").select("t", "lang", "y"), model, "t", "lang", "score", "flag").select("score", "y", "lang").toArrow()
+        calibrate(model, scored.column("score").to_numpy(), scored.column("y").to_numpy(), scored.column("lang").to_pylist())
     return model
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lemmary.llm import brown_lm, chaining, toxicity
 from lemmary.llm.common import fold_of, text_of
@@ -235,6 +236,25 @@ def test_toxicity_on_odd_tables(spark):
     assert all(r.toxicity < 1e-6 for r in toxicity.score_documents(docs, none).collect())
 
 
+def test_every_labelled_row_is_trained_on(spark, monkeypatch):
+    """6,400 labelled rows, eight for each word: whatever word three rows of training hold is known, in one block and in many."""
+    docs = spark.createDataFrame([(i, f"w{i // 8} " + ("bad" if i % 16 == 0 else "good")) for i in range(6400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 16 == 0).cast("int").alias("toxic"))
+    rows = docs.filter((fold_of("doc_id", 5) != 0) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) != 0)).select((F.col("doc_id") / 8).cast("int").alias("w"))
+    want = {r.w: r["count"] >= 3 for r in rows.groupBy("w").count().collect()}
+    monkeypatch.setattr(toxicity, "EPOCHS", 6)
+    models = []
+    for block, parts in ((8192, 3), (700, 3), (700, 5)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        model = toxicity.fit(docs.repartition(parts), labels)
+        hashes = np.array([toxicity.word_hash(f"w{w}") for w in want], np.uint64)
+        assert [bool(k) for k in model.is_known(hashes)] == list(want.values())
+        scores = toxicity.Scorer(model).score(["w1 bad", "w1 good", "bad", "good"])
+        assert min(scores[::2]) > 0.5 > max(scores[1::2])
+        models.append(model)
+    assert np.array_equal(models[1].tables, models[2].tables) and models[1].out_bias == models[2].out_bias and models[1].threshold == models[2].threshold
+
+
 def brute_chain(x, y, k):
     score = []
     for i in range(len(x)):
