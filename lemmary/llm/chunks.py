@@ -8,14 +8,17 @@ makes a cut unsafe, the whole text is encoded at once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: A space inside or at the end of a run of white space: a cut there could split one token.
@@ -232,3 +235,28 @@ def library_encoder(path: str, spaces: str) -> ChunkEncoder:
     if (path, spaces) not in _LOADED:
         _LOADED[path, spaces] = ChunkEncoder(LibraryWords(path, spaces))
     return _LOADED[path, spaces]
+
+
+def forget_encoders() -> None:
+    """Drop the encoders of this Python worker; the next task that needs one loads it again."""
+    _LOADED.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task that holds nothing for other operators: unless it ``encodes`` it drops their encoders first, at its end it gives memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget_encoders()
+            give_back()
+        yield from run(batches)
+        give_back()
+
+    return whole

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmary.llm.chunks import library_encoder, rounds
+from lemmary.llm.chunks import lean, library_encoder, rounds
 from lemmary.llm.common import text_of
 
 TIERS = (4096, 2048, 1024, 512)
@@ -198,8 +198,9 @@ def pack_documents(
                     yield from flush(False)
         if queue:
             yield from flush(True)
+        docs_now.clear()
         encoder.rest_a_while()
 
     sql = {pa.int64(): "long", pa.list_(pa.int32()): "array<int>"}
     schema = ", ".join(f"{n} {id_field.dataType.simpleString() if t is None else sql[t]}" for n, t in FIELDS if n in names)
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(lean(run, encodes=True), schema)

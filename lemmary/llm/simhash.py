@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmary.llm.chunks import lean
 from lemmary.llm.common import components, fresh_name, numbered, text_of, written
 
 PIVOTS = 24
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text", wi
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.int64()))], [*keep, "fp"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)])
-    return read.mapInArrow(run, f"{kept}, fp array<long>")
+    return read.mapInArrow(lean(run), f"{kept}, fp array<long>")
 
 
 def _bucket_keys(bits: int, parts: int) -> list[int]:
@@ -197,7 +198,7 @@ def by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
         if held:
             yield solve(pa.concat_batches(held))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def _plain(batch: pa.RecordBatch, i: int) -> np.ndarray:
@@ -378,7 +379,7 @@ def sketches(read: DataFrame, width: int) -> DataFrame:
             arrays = [pa.array(same, pa.binary()), pa.array(fp, longs), pa.array(keys, longs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["rid", "doc_id", "same", "fp", "keys"])
 
-    return read.mapInArrow(run, f"rid long, doc_id {id_type}, same binary, fp array<long>, keys array<long>")
+    return read.mapInArrow(lean(run), f"rid long, doc_id {id_type}, same binary, fp array<long>, keys array<long>")
 
 
 def sets_of(read: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -390,7 +391,7 @@ def sets_of(read: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "s"])
 
     wanted = ids.select(F.col("id").alias("rid")).distinct()
-    return written(read.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(shingle, "id long, s array<int>"), "simhash-sets")
+    return written(read.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(lean(shingle), "id long, s array<int>"), "simhash-sets")
 
 
 def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -409,7 +410,7 @@ def verified(pairs: DataFrame, read: DataFrame, width: int, similarity: float) -
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "simhash-links")
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(judge), "a long, b long"), "simhash-links")
 
 
 def near_duplicate_groups(

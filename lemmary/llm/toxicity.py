@@ -18,9 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from lemmary.llm.chunks import rounds
+from lemmary.llm.chunks import lean, rounds
 from lemmary.llm.common import fold_of, text_of, written
 
 WORD = re.compile(r"\w+")
@@ -28,6 +28,8 @@ TABLE_BITS = 15
 KNOWN_BITS = 22
 WIDTHS = (1, 2, 3)
 CACHE = 200_000
+#: Rows whose texts are Python strings at a time while they are scored.
+SLICE = 1_000
 #: Labelled rows that are trained on in one go, and tasks that train at once: each sends its weights to the driver.
 BLOCK, TASKS = 8192, 16
 #: Passes over all rows; with more than one block, weights are averaged after every LOCAL of them.
@@ -269,12 +271,12 @@ def train_blocks(rows: DataFrame, n: int, share: float, min_docs: int = 3, seed:
             found, seen = documents_of_features(docs, hashes)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(seen)], ["h", "n"])
 
-    often = blocks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    often = blocks.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     places = often.select(F.shiftrightunsigned("h", 64 - KNOWN_BITS).cast("int").alias("at")).distinct().toArrow()
     mark_known(model, places.column("at").to_numpy().astype(np.int64))
     epochs = EPOCHS if n_blocks == 1 else LOCAL
     for turn in range(EPOCHS // epochs):
-        sums = blocks.coalesce(TASKS).mapInArrow(lambda batches, m=model, e=epochs, r=turn: _changes(m, batches, e, seed + 1000 * r), "changes binary, touched binary, n long").toArrow()
+        sums = blocks.coalesce(TASKS).mapInArrow(lean(lambda batches, m=model, e=epochs, r=turn: _changes(m, batches, e, seed + 1000 * r)), "changes binary, touched binary, n long").toArrow()
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in sums.column("changes"))
         touched = sum(np.frombuffer(x.as_py(), np.int64) for x in sums.column("touched"))
         done = sum(sums.column("n").to_pylist())
@@ -404,18 +406,23 @@ def score_documents(
     keep = [c for c in docs.columns if c.lower() not in (score.lower(), flag.lower())]
     lang = F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("")) if lang_column in keep else F.lit("")
     own = [F.col(f"`{c}`") for c in keep]
-    read = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(0)).alias("row"), text_of(text_column).alias("text"), lang.alias("lang"))
+    inside = text_column in keep and docs.schema[text_column].dataType == StringType()  # then the text travels once, in its row
+    place = keep.index(text_column) if inside else -1
+    text = F.lit(None).cast("string") if inside else text_of(text_column)
+    read = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(0)).alias("row"), text.alias("text"), lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores = [scorer.score(texts[part]) for part in rounds(texts, 1_000_000)]
+            column, scores = batch.column(0).field(place) if inside else batch.column(1), []
+            for at in range(0, batch.num_rows, SLICE):
+                texts = [t or "" for t in column.slice(at, SLICE).to_pylist()]
+                scores += [scorer.score(texts[part]) for part in rounds(texts, 1_000_000)]
             s = np.concatenate(scores) if scores else np.zeros(0)
             cut = [model.thresholds.get(x, model.threshold) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s, pa.float64()), pa.array(s >= np.array(cut, float), pa.bool_())], names=["row", "score", "flag"]
             )
 
-    scored = read.mapInArrow(run, StructType([read.schema["row"]]).add("score", DoubleType()).add("flag", BooleanType()))
+    scored = read.mapInArrow(lean(run), StructType([read.schema["row"]]).add("score", DoubleType()).add("flag", BooleanType()))
     return scored.select(*[F.col("row")[c].alias(c) for c in keep], F.col("score").alias(score), F.col("flag").alias(flag))

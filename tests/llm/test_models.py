@@ -236,6 +236,20 @@ def test_toxicity_on_odd_tables(spark):
     assert all(r.toxicity < 1e-6 for r in toxicity.score_documents(docs, none).collect())
 
 
+def test_the_text_travels_once(spark):
+    model = toxicity.train_model(["bad awful words"] * 4 + ["good fine words"] * 4, [1] * 4 + [0] * 4)
+    rows = [(i, t) for i, t in enumerate([None, "", "bad awful words", "good fine words"] * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    scored = toxicity.score_documents(docs, model)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS text" in plan
+    found = {r.doc_id: (r.text, r.toxicity) for r in scored.collect()}
+    plain = dict(zip([r[0] for r in rows], toxicity.Scorer(model).score([r[1] or "" for r in rows]), strict=True))
+    assert all(found[i][0] == t and abs(found[i][1] - plain[i]) < 1e-6 for i, t in rows)
+    binary = toxicity.score_documents(docs.select("doc_id", docs.text.cast("binary").alias("text")), model).collect()
+    assert all(abs(r.toxicity - plain[r.doc_id]) < 1e-6 for r in binary)
+
+
 def test_every_labelled_row_is_trained_on(spark, monkeypatch):
     """6,400 labelled rows, eight for each word: whatever word three rows of training hold is known, in one block and in many."""
     docs = spark.createDataFrame([(i, f"w{i // 8} " + ("bad" if i % 16 == 0 else "good")) for i in range(6400)], "doc_id long, text string")

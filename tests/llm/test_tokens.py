@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lemmary.llm import bpe, packing, sstable
+from lemmary.llm import bpe, chunks, packing, sstable
 from lemmary.llm.chunks import library_encoder
 
 
@@ -172,3 +172,19 @@ def test_shard_file(tmp_path):
     (tmp_path / "b.sst").write_bytes(data[:100] + b"x" + data[101:])
     with pytest.raises(ValueError):
         list(sstable.Shard(str(tmp_path / "b.sst")))
+
+
+def test_lean_tasks_hold_nothing_for_other_operators(vocab):
+    own = library_encoder(vocab("word_bpe_49k.json"), "dropped")
+    assert list(chunks.lean(lambda x: x, encodes=True)(iter([1, 2]))) == [1, 2]
+    assert library_encoder(vocab("word_bpe_49k.json"), "dropped") is own  # the next packing task has it
+    seen = list(chunks.lean(lambda x: (len(chunks._LOADED) for _ in x))(iter([1, 2])))
+    assert seen == [0, 0]
+    held = chunks.give_back
+    held()
+    before = int(open("/proc/self/statm").read().split()[1])
+    parts = [bytes(50_000) for _ in range(2_000)]
+    keep = parts[::200]
+    del parts
+    held()
+    assert int(open("/proc/self/statm").read().split()[1]) - before < 10_000 and len(keep) == 10  # pages of 4 kB, of 25,000
